@@ -128,7 +128,9 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], row_key: str,
     return dealt.join(repeated, [*keys, "salt"]).drop("salt")
 
 
-def prediction_parent_join(predictions: DataFrame, trajectories: DataFrame, key: str = "primary_key") -> DataFrame:
+def prediction_parent_join(
+    predictions: DataFrame, trajectories: DataFrame, shared_keys: list[str] | None = None
+) -> DataFrame:
     """Predictions with columns of the trajectory they were made from."""
-    parents = trajectories.withColumnRenamed(key, "aggregated_ais_data_id")
-    return predictions.join(parents, "aggregated_ais_data_id")
+    parents = trajectories.withColumnRenamed("primary_key", "aggregated_ais_data_id")
+    return predictions.join(parents, ["aggregated_ais_data_id", *(shared_keys or [])])

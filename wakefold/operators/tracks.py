@@ -99,6 +99,7 @@ def explode_arrays(trajectories: DataFrame, parents: list[str]) -> DataFrame:
     """One row per position of the stored arrays, whether they are arrays or text.
 
     Text cells that cannot be read give null; a trajectory without cells keeps one null row.
+    ``pos`` runs on over the parts of a trajectory in order (not without gaps).
     """
 
     def cells(name: str):
@@ -111,11 +112,14 @@ def explode_arrays(trajectories: DataFrame, parents: list[str]) -> DataFrame:
         cells("cog_array").alias("c"),
         textual.wkt_points(F.col("trajectory")).alias("p"),
     )
+    pos = F.col("pos").cast("long")
+    if "part" in parents:
+        pos = F.shiftleft("part", 32) + pos
     return (
         trajectories.select(*parents, F.posexplode_outer(zipped).alias("pos", "cell"))
         .select(
             *parents,
-            F.col("pos").cast("long").alias("pos"),
+            pos.alias("pos"),
             F.unix_seconds(textual.cell_timestamp(F.col("cell.t"))).alias("ts_s"),
             F.col("cell.s").try_cast("double").alias("sog"),
             F.col("cell.c").try_cast("double").alias("cog"),

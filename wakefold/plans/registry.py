@@ -13,6 +13,12 @@ TOPICS = [
     "events",
     "joining",
     "metrics",
+    "sliding",
+    "text_forms",
+    "reading",
+    "storing",
+    "profiling",
+    "sampling",
 ]
 
 

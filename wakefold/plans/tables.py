@@ -15,11 +15,14 @@ from pyspark.sql import types as T
 from wakefold.functions.timefmt import epoch_ms
 from wakefold.operators import features, labels
 from wakefold.operators.joins import interval_join, pair_events, pair_interval_join
-from wakefold.operators.segments import suggest_segment_ms
+from wakefold.operators.segments import suggest_segment_ms, track_summaries
 from wakefold.operators.tracks import trajectory_arrays
+from wakefold.sources.shared import new_path
 
 EVENT_SPAN_S = 172_800
 
+_stored: dict[tuple[str, str], str] = {}
+
 
 class Tables:
     """Lazily built inputs over one data folder."""
@@ -138,11 +141,23 @@ class Tables:
     @cached_property
     def trajectories(self) -> DataFrame:
         """Stored trajectories: features plus bounded array parts."""
-        arrays = trajectory_arrays(
-            self.event_points, ["event_index", "id", "Category"], self.segment_ms
-        ).withColumnRenamed("Category", "behavior_type_label")
-        keys = ["event_index", "id", "behavior_type_label"]
-        return arrays.join(self.feature_table, keys)
+        keys = ["event_index", "id", "Category"]
+        arrays = trajectory_arrays(self.event_points, keys, self.segment_ms)
+        summaries = track_summaries(self.event_points, keys, self.segment_ms)
+        measured = features.with_features(
+            summaries, [*keys, F.col("head_ts").alias("traj_start_ms"), F.col("tail_ts").alias("traj_end_ms")]
+        )
+        return arrays.join(measured, keys).withColumnRenamed("Category", "behavior_type_label")
+
+    @property
+    def stored(self) -> DataFrame:
+        """The trajectory table as later steps find it: written once per application."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _stored:
+            path = new_path(self.spark, "trajectories")
+            self.trajectories.write.parquet(path)
+            _stored[key] = path
+        return self.spark.read.parquet(_stored[key])
 
     @cached_property
     def spans(self) -> DataFrame:
