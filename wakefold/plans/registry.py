@@ -19,6 +19,8 @@ TOPICS = [
     "storing",
     "profiling",
     "sampling",
+    "rasters",
+    "training",
 ]
 
 
