@@ -19,11 +19,12 @@ from wakefold.operators.cleaning import clean_nonfinite
 from wakefold.operators.profiling import (
     classification_metrics, confusion_counts, metrics_long, zero_variance,
 )
-from wakefold.operators.sampling import balanced_sample, kfold_assign, stratified_split
+from wakefold.operators.sampling import balanced_sample, kfold_assign, smallest_class, stratified_split
 from wakefold.schemas import FEATURES
 
 LABEL = "behavior_type_label"
 KEY = "row_key"
+ROWS_PER_TASK = 50_000
 
 
 def svm(max_iterations: int = 20, regularization: float = 0.0) -> Estimator:
@@ -75,10 +76,17 @@ def training_table(
     seed: int = 42,
     features: list[str] | None = None,
 ) -> DataFrame:
-    """Balanced, cleaned and split rows of the chosen labels, kept for repeated passes."""
+    """Balanced, cleaned and split rows of the chosen labels, kept for repeated passes.
+
+    Solvers run one job per iteration, so rows are packed into as many partitions as their
+    number calls for; it is known from the class sizes.
+    """
     features = features or FEATURES
+    if per_label is None:
+        per_label = smallest_class(table, LABEL, labels)
     sampled = balanced_sample(table.select(KEY, LABEL, *features), LABEL, KEY, labels, per_label, seed)
-    return clean_nonfinite(stratified_split(sampled, LABEL, KEY, test_size, seed), features).persist()
+    split = clean_nonfinite(stratified_split(sampled, LABEL, KEY, test_size, seed), features)
+    return split.repartition(max(1, per_label * len(labels) // ROWS_PER_TASK), KEY).persist()
 
 
 def _one_vs_rest_scores(model: OneVsRestModel, rows: DataFrame) -> DataFrame:
@@ -124,7 +132,8 @@ def cross_validate(
     train: DataFrame, estimator: Callable[[], Pipeline], labels: list[str], folds: int, seed: int
 ) -> DataFrame:
     """Long-form metrics of each fold."""
-    folded = kfold_assign(train, LABEL, KEY, folds, seed).persist()
+    packed = train.rdd.getNumPartitions()
+    folded = kfold_assign(train, LABEL, KEY, folds, seed).repartition(packed, KEY).persist()
     parts = []
     for fold in range(folds):
         model = estimator().fit(folded.where(F.col("fold") != fold))

@@ -49,14 +49,11 @@ def pair_interval_join(points: DataFrame, events: DataFrame, bucket_ms: int = BU
 def vessel_semi_filter(points: DataFrame, events: DataFrame) -> DataFrame:
     """Points of vessels with at least one event, inside the overall time span of the events.
 
-    The span is a single row; the vessel list stays a frame however long it is.
+    The span is a scalar subquery; the vessel list stays a frame however long it is.
     """
-    span = events.agg(F.min("from_ms").alias("span_from"), F.max("to_ms").alias("span_to"))
-    return (
-        points.join(events.select("id").distinct(), "id", "left_semi")
-        .join(F.broadcast(span), F.col("ts").between(F.col("span_from"), F.col("span_to")))
-        .drop("span_from", "span_to")
-    )
+    span = events.agg(F.struct(F.min("from_ms").alias("lo"), F.max("to_ms").alias("hi"))).scalar()
+    inside = points.where(F.col("ts").between(span["lo"], span["hi"]))
+    return inside.join(events.select("id").distinct(), "id", "left_semi")
 
 
 def covering_trajectory(

@@ -22,6 +22,7 @@ from wakefold.sources.shared import new_path
 EVENT_SPAN_S = 172_800
 
 _stored: dict[tuple[str, str], str] = {}
+_segment_ms: dict[tuple[str, str], int] = {}
 
 
 class Tables:
@@ -128,9 +129,13 @@ class Tables:
         """Points of each event for both vessels of a pair."""
         return pair_interval_join(self.points, self.event_intervals)
 
-    @cached_property
+    @property
     def segment_ms(self) -> int:
-        return suggest_segment_ms(self.points)
+        """Segment width measured on the data once per application."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _segment_ms:
+            _segment_ms[key] = suggest_segment_ms(self.points)
+        return _segment_ms[key]
 
     @cached_property
     def feature_table(self) -> DataFrame:

@@ -64,12 +64,11 @@ def key_range_scan(
 ) -> DataFrame:
     """Projected and filtered rows with the number of their key range.
 
-    Bounds are a one-row aggregate; the projection and filter reach the file scan.
+    Bounds are a scalar subquery; the projection and filter reach the file scan.
     """
     picked = frame if where is None else frame.where(where)
     wanted = list(dict.fromkeys([*columns, key]))
     picked = picked.select(*wanted)
-    edges = picked.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    slot = (F.col(key) - F.col("lo")) * F.lit(ranges)
-    number = F.floor(slot / (F.col("hi") - F.col("lo") + 1)).cast("long")
-    return picked.crossJoin(F.broadcast(edges)).withColumn("range_id", number).drop("lo", "hi")
+    edges = picked.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+    slot = (F.col(key) - edges["lo"]) * F.lit(ranges)
+    return picked.withColumn("range_id", F.floor(slot / (edges["hi"] - edges["lo"] + 1)).cast("long"))
