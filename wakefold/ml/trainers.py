@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel, RandomForestClassifier
@@ -12,7 +11,7 @@ from pyspark.ml.feature import (
     Imputer, IndexToString, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakefold.operators.cleaning import clean_nonfinite
@@ -110,14 +109,18 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return rows
 
 
-def report(model: PipelineModel, rows: DataFrame, labels: list[str]) -> DataFrame:
-    """Metrics of scored rows. The confusion table has at most ``len(labels)**2`` rows and is
-    fetched once, so that the rows are scored once.
-    """
+def confusion_rows(model: PipelineModel, rows: DataFrame, labels: list[str], *group) -> list[tuple]:
+    """Counts per (label, predicted) after ``group``; at most ``len(labels)**2`` of them."""
     counts = confusion_counts(score(model, rows), LABEL, "predicted")
     known = counts.where(F.col(LABEL).isin(labels) & F.col("predicted").isin(labels))
-    fixed = rows.sparkSession.createDataFrame(known.collect(), known.schema)
-    return classification_metrics(fixed, labels, LABEL, "predicted")
+    return [(*group, *row) for row in known.collect()]
+
+
+def report(spark: SparkSession, counted: list[tuple], labels: list[str]) -> DataFrame:
+    """Metrics per (stage, step, fold) of rows made by ``confusion_rows``."""
+    schema = f"stage string, step long, fold long, {LABEL} string, predicted string, rows long"
+    confusion = spark.createDataFrame(counted, schema)
+    return classification_metrics(confusion, labels, LABEL, "predicted", ["stage", "step", "fold"])
 
 
 @dataclass
@@ -129,17 +132,17 @@ class Trained:
 
 
 def cross_validate(
-    train: DataFrame, estimator: Callable[[], Pipeline], labels: list[str], folds: int, seed: int
-) -> DataFrame:
-    """Long-form metrics of each fold."""
+    train: DataFrame, build: Callable[[], Pipeline], labels: list[str], folds: int, seed: int, step: int = 0
+) -> list[tuple]:
+    """Confusion rows of every fold, each scored by a model that never saw it."""
     packed = train.rdd.getNumPartitions()
     folded = kfold_assign(train, LABEL, KEY, folds, seed).repartition(packed, KEY).persist()
-    parts = []
+    counted = []
     for fold in range(folds):
-        model = estimator().fit(folded.where(F.col("fold") != fold))
-        found = report(model, folded.where(F.col("fold") == fold), labels)
-        parts.append(found.withColumn("fold", F.lit(fold).cast("long")))
-    return reduce(DataFrame.unionByName, parts)
+        model = build().fit(folded.where(F.col("fold") != fold))
+        counted += confusion_rows(model, folded.where(F.col("fold") == fold), labels, "cv", step, fold)
+    folded.unpersist()
+    return counted
 
 
 def train(
@@ -161,15 +164,13 @@ def train(
     def build() -> Pipeline:
         return pipeline(classifier, used, labels, strategy)
 
-    parts = []
-    if folds > 1:
-        scores = cross_validate(train_rows, build, labels, folds, seed)
-        averaged = scores.groupBy("scope", "metric").agg(F.avg("value").alias("value"))
-        parts.append(metrics_long(averaged, "cv", folds))
+    counted = cross_validate(train_rows, build, labels, folds, seed) if folds > 1 else []
     model = build().fit(train_rows)
-    for name, rows in (("train", train_rows), ("test", test_rows)):
-        parts.append(metrics_long(report(model, rows, labels), name, 0))
-    return Trained(model, used, reduce(DataFrame.unionByName, parts), data)
+    counted += confusion_rows(model, train_rows, labels, "train", 0, 0)
+    counted += confusion_rows(model, test_rows, labels, "test", 0, 0)
+    scores = report(table.sparkSession, counted, labels)
+    averaged = scores.groupBy("stage", "scope", "metric").agg(F.avg("value").alias("value"))
+    return Trained(model, used, metrics_long(averaged, F.col("stage"), F.lit(0)), data)
 
 
 def checkpoints(highest: int, points: int = 20) -> list[int]:
@@ -194,15 +195,14 @@ def learning_curve(
     """Fold-averaged accuracy and macro scores per number of iterations or trees."""
     data = training_table(table, labels, None, 0.2, seed, features).where(F.col("split") == "train")
     used = usable_features(data, features or FEATURES)
-    parts = []
+    counted = []
     for step in steps:
-        scores = cross_validate(
-            data, lambda step=step: pipeline(classifier_at(step), used, labels), labels, folds, seed
-        )
-        parts.append(scores.withColumn("step", F.lit(step).cast("long")))
-    kept = reduce(DataFrame.unionByName, parts).where(
-        (F.col("scope") == "macro_avg") | (F.col("metric") == "accuracy")
-    )
+        def build(step: int = step) -> Pipeline:
+            return pipeline(classifier_at(step), used, labels)
+
+        counted += cross_validate(data, build, labels, folds, seed, step)
+    scores = report(table.sparkSession, counted, labels)
+    kept = scores.where((F.col("scope") == "macro_avg") | (F.col("metric") == "accuracy"))
     return kept.groupBy("step", "scope", "metric").agg(F.avg("value").alias("value"))
 
 

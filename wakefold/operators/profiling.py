@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,29 +199,34 @@ def confusion_counts(scored: DataFrame, label: str, prediction: str) -> DataFram
 
 
 def classification_metrics(
-    confusion: DataFrame, labels: list[str], label: str = "label", prediction: str = "prediction"
+    confusion: DataFrame,
+    labels: list[str],
+    label: str = "label",
+    prediction: str = "prediction",
+    by: list[str] | None = None,
 ) -> DataFrame:
-    """Long-form report: per class, macro averages and accuracy.
+    """Long-form report per ``by`` group: per class, macro averages and accuracy.
 
     Counts with a label or prediction outside ``labels`` are left out; a quotient with a zero
     divisor is zero. Works on the small confusion table only.
     """
-    spark = confusion.sparkSession
+    by = by or []
     known = confusion.where(F.col(label).isin(labels) & F.col(prediction).isin(labels))
-    sides = known.select(
-        F.explode(
-            F.array(
-                F.struct(F.col(label).alias("scope"), F.col("rows").alias("support"), F.lit(0).cast("long").alias("predicted"),
-                         F.when(F.col(label) == F.col(prediction), F.col("rows")).otherwise(F.lit(0)).alias("hits")),
-                F.struct(F.col(prediction).alias("scope"), F.lit(0).cast("long").alias("support"),
-                         F.col("rows").alias("predicted"), F.lit(0).cast("long").alias("hits")),
-            )
-        ).alias("s")
-    ).select("s.*")
-    listed = spark.createDataFrame([(x,) for x in labels], "scope string")
-    sums = sides.groupBy("scope").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
-    zero = F.lit(0).cast("long")
-    per_class = F.broadcast(listed).join(sums, "scope", "left").na.fill(0)
+    zero, rows = F.lit(0).cast("long"), F.col("rows")
+    hit = F.when(F.col(label) == F.col(prediction), rows).otherwise(zero)
+    every_class = F.explode(F.array(*[F.lit(x) for x in labels]))
+    # Each count adds to the support of its label and to the predictions of its class; the
+    # listed classes add zeros, so that none is missing from a group.
+    sides = (
+        known.select(*by, F.col(label).alias("scope"), rows.alias("support"), zero.alias("predicted"), hit.alias("hits"))
+        .unionByName(
+            known.select(*by, F.col(prediction).alias("scope"), zero.alias("support"), rows.alias("predicted"), zero.alias("hits"))
+        )
+        .unionByName(
+            confusion.select(*by, every_class.alias("scope"), zero.alias("support"), zero.alias("predicted"), zero.alias("hits"))
+        )
+    )
+    per_class = sides.groupBy(*by, "scope").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
     precision = F.when(F.col("predicted") > 0, F.col("hits") / F.col("predicted")).otherwise(F.lit(0.0))
     recall = F.when(F.col("support") > 0, F.col("hits") / F.col("support")).otherwise(F.lit(0.0))
     scored = per_class.withColumn("precision", precision).withColumn("recall", recall)
@@ -233,29 +236,25 @@ def classification_metrics(
     )
     names = ["precision", "recall", "f1"]
 
-    def unpivot(frame: DataFrame, scope, columns: list[str]) -> DataFrame:
-        cells = F.array(
-            *[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]
-        )
-        return frame.select(scope.alias("scope"), F.explode(cells).alias("m")).select("scope", "m.*")
+    def cell(scope: Column, metric: str, value: Column) -> Column:
+        return F.struct(scope.alias("scope"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
 
-    macro = scored.agg(*[F.avg(c).alias(c) for c in names])
-    total = scored.agg(
+    class_cells = F.array(*[cell(F.col("scope"), n, F.col(n)) for n in [*names, "support"]])
+    whole = scored.groupBy(*by).agg(
+        F.flatten(F.collect_list(class_cells)).alias("classes"),  # four cells per listed label
+        *[F.avg(n).alias(n) for n in names],
         F.coalesce(F.try_divide(F.sum("hits"), F.sum("support")), F.lit(0.0)).alias("accuracy"),
-        F.coalesce(F.sum("support"), zero).alias("total_samples"),
+        F.sum("support").alias("total_samples"),
+    )
+    summary = F.array(
+        *[cell(F.lit("macro_avg"), n, F.col(n)) for n in names],
+        *[cell(F.lit("overall"), n, F.col(n)) for n in ("accuracy", "total_samples")],
     )
-    parts = [
-        unpivot(scored, F.col("scope"), [*names, "support"]),
-        unpivot(macro, F.lit("macro_avg"), names),
-        unpivot(total, F.lit("overall"), ["accuracy", "total_samples"]),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return whole.select(*by, F.explode(F.concat("classes", summary)).alias("m")).select(*by, "m.*")
 
 
-def metrics_long(report: DataFrame, prefix: str, step: int) -> DataFrame:
+def metrics_long(report: DataFrame, prefix: Column, step: Column) -> DataFrame:
     """Report rows under the names a metric log uses."""
     return report.select(
-        F.concat_ws("_", F.lit(prefix), "scope", "metric").alias("metric"),
-        "value",
-        F.lit(step).cast("long").alias("step"),
+        F.concat_ws("_", prefix, "scope", "metric").alias("metric"), "value", step.cast("long").alias("step")
     )

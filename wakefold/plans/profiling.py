@@ -209,4 +209,4 @@ def classification_metrics(t: Tables) -> DataFrame:
 )
 def metrics_long(t: Tables) -> DataFrame:
     report = profiling.classification_metrics(_confusion(t), LABELS)
-    return profiling.metrics_long(report, "rule", 7).withColumn("value", F.round("value", 6))
+    return profiling.metrics_long(report, F.lit("rule"), F.lit(7)).withColumn("value", F.round("value", 6))
