@@ -20,7 +20,7 @@ from wakefold.functions.geo import haversine_km, planar_bearing
 from wakefold.schemas import HOUR_MS
 
 SEGMENT_MS = HOUR_MS
-TARGET_SEGMENT_ROWS = 4_000_000
+TARGET_SEGMENT_ROWS = 1_000_000
 TURN_DEGREES = 10.0
 SLOW_KNOTS = 2.0
 STILL_KNOTS = 0.5
@@ -39,9 +39,11 @@ def segment_id(ts: Column, segment_ms: int) -> Column:
 
 
 def suggest_segment_ms(points: DataFrame, key: str = "id", target_rows: int = TARGET_SEGMENT_ROWS) -> int:
-    """Segment width at which the densest (key, hour) stays near ``target_rows`` rows.
+    """Widest segment that holds at most ``target_rows`` points of one key.
 
-    One pass with map-side combine over two columns; a single number reaches the driver.
+    No hour of any key has more points than the densest one, so a segment of h hours holds at
+    most h times as many. Sparse tracks thus get one segment and no stitching, dense ones get
+    many. One pass with map-side combine over two columns; a single number reaches the driver.
     """
     densest = (
         points.groupBy(key, segment_id(F.col("ts"), HOUR_MS).alias("seg"))
@@ -49,9 +51,7 @@ def suggest_segment_ms(points: DataFrame, key: str = "id", target_rows: int = TA
         .agg(F.max("rows"))
         .first()[0]
     )
-    if not densest or densest <= target_rows:
-        return HOUR_MS
-    return max(1, HOUR_MS * target_rows // densest)
+    return max(1, HOUR_MS * target_rows // max(1, densest or 1))
 
 
 def point_measures(sog: Column, cog: Column) -> dict[str, Column]:

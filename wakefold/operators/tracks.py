@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wakefold.functions import textual
 from wakefold.functions.geo import haversine_km
 from wakefold.functions.timefmt import ms_text
-from wakefold.operators.segments import ENDS, SEGMENT_MS, segment_id
+from wakefold.operators.segments import ENDS, SEGMENT_MS, TARGET_SEGMENT_ROWS, segment_id
 
 PART_POINTS = 50_000
 
@@ -20,9 +20,11 @@ def with_parts(
 
     A row cannot hold a trajectory of any length, so arrays are built per part: part 0 is the
     whole trajectory unless it is longer than a part. The part of a time segment follows from
-    the number of points before it, counted on segment summaries.
+    the number of points before it, counted on segment summaries; segments are narrowed here
+    so that one holds no more than a part.
     """
-    keyed = points.withColumn("seg", segment_id(F.col("ts"), segment_ms))
+    narrow_ms = max(1, segment_ms * part_points // TARGET_SEGMENT_ROWS)
+    keyed = points.withColumn("seg", segment_id(F.col("ts"), narrow_ms))
     counts = keyed.groupBy(*keys, "seg").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy(*keys).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     parts = counts.select(

@@ -12,8 +12,8 @@ _local: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh temporary one only for a local master."""
-    configured = spark.conf.get(_CONF, None)
+    """The checkpoint folder of the session; a fresh temporary one only for a local master."""
+    configured = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
