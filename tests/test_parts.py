@@ -259,3 +259,23 @@ def test_cross_validation_fits_inside_the_fold(spark):
     assert trained.features == ["x"]
     assert scores["cv_overall_accuracy"] == 1.0 and scores["test_overall_accuracy"] == 1.0
     assert scores["train_A_support"] == 48.0
+
+
+def test_labelled_images_take_the_folder_as_label(spark, tmp_path):
+    for label, name in (("NORMAL", "a.png"), ("STOPPING", "b.jpg"), ("STOPPING", "c.txt")):
+        (tmp_path / label).mkdir(exist_ok=True)
+        (tmp_path / label / name).write_bytes(b"xyz")
+    rows = readers.read_labelled_images(spark, str(tmp_path)).collect()
+    assert sorted((r["behavior_type_label"], r["length"]) for r in rows) == [("NORMAL", 3), ("STOPPING", 3)]
+
+
+def test_multimodal_cells_survive_csv(spark):
+    path = shared.new_path(spark, "test-multimodal")
+    rows = spark.createDataFrame(
+        [(1, [[255, 0], [1, 2]], [1.5, None], "NORMAL")],
+        "event_index long, trajectory_image_matrix array<array<long>>, sog_array array<double>, behavior_type_label string",
+    )
+    writers.write_multimodal(rows, path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path).first()
+    assert back["trajectory_image_matrix"] == "[[255,0],[1,2]]" and back["sog_array"] == "[1.5,null]"
+    assert back["behavior_type_label"] == "NORMAL"

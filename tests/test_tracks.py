@@ -150,3 +150,16 @@ def test_segment_width_follows_density(spark):
     crowded = frame.groupBy("id", segments.segment_id(F.col("ts"), width)).count().agg(F.max("count")).first()[0]
     assert width < 3_600_000
     assert crowded <= 100  # the test points are not spread evenly inside their hour
+
+
+def test_open_ended_arrays_hold_every_later_point(spark):
+    rows = make_rows(6, True)
+    starts = [(i, v, t) for i, (v, t) in enumerate((v, t) for v in ("hot", "v1", "absent") for t in (0, 7000, 19000))]
+    frame = spark.createDataFrame(starts, "event_index long, id string, from_ms long")
+    built = tracks.open_ended_arrays(spark.createDataFrame(rows, POINTS), frame, 10**9, part_points=9)
+    got = {}
+    for row in built.orderBy("event_index", "part").collect():
+        got.setdefault(row["event_index"], []).extend(row["cog_array"])
+    for index, vessel, begin in starts:
+        later = sorted((r for r in rows if r[0] == vessel and r[1] >= begin), key=lambda r: (r[1], r[6]))
+        assert got.get(index, []) == [r[5] for r in later]

@@ -55,10 +55,12 @@ def trajectory_arrays(
     decimals: int | None = None,
 ) -> DataFrame:
     """WKT, time text, speed and heading arrays per key and part."""
-    built = ordered_points(points, keys, segment_ms, part_points)
+    return _array_columns(ordered_points(points, keys, segment_ms, part_points), [*keys, "part"], decimals)
+
+
+def _array_columns(built: DataFrame, keys: list[str], decimals: int | None = None) -> DataFrame:
     return built.select(
         *keys,
-        "part",
         textual.linestring(F.col("points"), decimals).alias("trajectory"),
         F.transform("points", lambda p: ms_text(p["ts"])).alias("timestamp_array"),
         F.transform("points", lambda p: p["sog"]).alias("sog_array"),
@@ -66,6 +68,23 @@ def trajectory_arrays(
     )
 
 
+def open_ended_arrays(
+    points: DataFrame, starts: DataFrame, segment_ms: int = SEGMENT_MS, part_points: int = PART_POINTS
+) -> DataFrame:
+    """Array parts of the rest of the vessel's track from each start on.
+
+    The output itself repeats later points for every start, so use it for chosen events; the
+    features of all events come from ``features.open_ended_features`` without it. Whole parts
+    are matched, not points, and the first part of each start is cut to its time.
+    """
+    parts = ordered_points(points, ["id"], segment_ms, part_points)
+    spans = parts.select("id", "part", F.element_at("points", -1)["ts"].alias("last_ts"))
+    wanted = starts.join(spans, "id").where(F.col("last_ts") >= F.col("from_ms")).drop("last_ts")
+    cut = F.filter("points", lambda p: p["ts"] >= F.col("from_ms"))
+    keys = [*starts.columns, "part"]
+    return _array_columns(wanted.join(parts, ["id", "part"]).withColumn("points", cut), keys)
+
+
 def point_steps(points: DataFrame, keys: list[str], segment_ms: int = SEGMENT_MS) -> DataFrame:
     """Every point with its predecessor on the track (null for the first).
 
