@@ -18,6 +18,16 @@ def covered_buckets(from_ms: Column, to_ms: Column, bucket_ms: int) -> Column:
     return F.sequence(time_bucket(from_ms, bucket_ms), time_bucket(to_ms, bucket_ms))
 
 
+def suggest_bucket_ms(intervals: DataFrame) -> int:
+    """A quarter of the mean interval length.
+
+    The copies of n intervals over buckets then sum to at most 4n + 2n, however uneven their
+    lengths are, and a point meets little more than the intervals that hold it.
+    """
+    mean = intervals.agg(F.avg(F.greatest(F.col("to_ms") - F.col("from_ms"), F.lit(0)))).first()[0]
+    return max(1, int((mean or 0) / 4))
+
+
 def interval_join(points: DataFrame, events: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Points inside ``[from_ms, to_ms]`` of events of the same vessel, both ends included.
 
