@@ -36,11 +36,23 @@ def in_tasks(frame: DataFrame, work: Callable, schema: str) -> DataFrame:
     return frame.mapInArrow(work, schema)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Writes the frame under the checkpoint folder and reads it back."""
-    path = shared.new_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """Writes the frame under the checkpoint folder and reads it back.
+
+    Nothing needs the shuffle files of the job afterwards, so they go when it ends.
+    """
+    spark = frame.sparkSession
+    path = shared.new_path(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def document_key() -> list[Column]:

@@ -240,8 +240,8 @@ def _pieces(column, length: int) -> Iterator[tuple[int, int, Slice]]:
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, offset, piece in _pieces(batch.column(2), length):
+            keys = batch.column(0).to_numpy()
+            for first, offset, piece in _pieces(batch.column(1), length):
                 doc, at, low, high, hashes = anchors(piece, length)
                 if not len(doc):
                     continue
@@ -249,14 +249,11 @@ def _anchor_rows(length: int):
                 rows = doc + first
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(k1[rows]),
-                        pa.array(k2[rows]),
-                        pa.array((at - base).astype(np.int32)),
-                        pa.array((low - base).astype(np.int32)),
-                        pa.array((high - base).astype(np.int32)),
+                        pa.array(keys[rows]),
+                        pa.array((at - base) << 16 | (at - low) << 8 | (high - low)),
                         pa.array(hashes),
                     ],
-                    names=["k1", "k2", "at", "low", "high", "hash"],
+                    names=["key", "place", "hash"],
                 )
 
     return run
@@ -269,11 +266,11 @@ def _contexts(length: int, wide: bool):
         for i in range(batch.num_rows):
             text = batch.column(2)[i].as_py() or b""
             for place in batch.column(3)[i].as_py():
-                begin, end = place["low"], place["high"] + length
-                context = text[begin:end]
-                left = place["at"] - begin
+                at, left = place["place"] >> 16, place["place"] >> 8 & 255
+                begin = at - left
+                context = text[begin : begin + (place["place"] & 255) + length]
                 digest = blake2b(context, digest_size=16, salt=left.to_bytes(4, "little")).digest()
-                yield i, place["at"], place["hash"], digest, left, context
+                yield i, at, place["hash"], digest, left, context
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,17 +372,19 @@ def cut_documents(documents: DataFrame, length: int = 200) -> DataFrame:
     k1 and k2 are ``document_key``; rows of equal id and text share one result. kept_text leaves out
     a character of which only some bytes are left.
     """
+    if not SEED < length < SEED + 256:
+        raise ValueError(f"length must lie between {SEED + 1} and {SEED + 255}")
+    key = F.xxhash64("k1", "k2").alias("key")
     texts = documents.select(*document_key(), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    seeds = stored(
-        in_tasks(texts, _anchor_rows(length), "k1 long, k2 long, at int, low int, high int, hash long"), "anchors"
-    )
+    # Millions of rows a gigabyte: a row is one key, one packed place and one hash.
+    seeds = stored(in_tasks(texts.select(key, "text"), _anchor_rows(length), "key long, place long, hash long"), "anchors")
     again = seeds.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("hash")
     places = (
         seeds.join(again, "hash")
-        .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("at", "low", "high", "hash")).alias("places"))
+        .groupBy("key")
+        .agg(F.collect_set(F.struct("place", "hash")).alias("places"))
     )
-    near = stored(texts.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places"), "contexts")
+    near = stored(texts.withColumn("key", key).join(places, "key").select("k1", "k2", "text", "places"), "contexts")
     contexts = in_tasks(near, _contexts(length, True), "hash long, digest binary, left int, context binary, copies long")
     ranges = in_tasks(
         contexts.repartition("hash").sortWithinPartitions("hash"),
