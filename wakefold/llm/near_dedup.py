@@ -28,7 +28,7 @@ from wakefold.llm.textcore import U64, grouped, mix, shingle_sets, slices
 
 CHUNK = 5
 BLOCK = 2000
-PARTNERS = 8
+PARTNERS = 64
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -104,9 +104,9 @@ def _indexer(chunks: int):
 def _confirmer(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                sides = [list(_sets(part.column(i), words)) for i in (2, 3)]
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sides = [_sets(part.column(i), part.column(i + 2), words) for i in (0, 1)]
                 linked = []
                 for left, right in zip(*sides, strict=True):
                     both = len(np.intersect1d(left, right, assume_unique=True))
@@ -118,25 +118,27 @@ def _confirmer(words: int, percent: int):
     return run
 
 
-def _sets(column, words: int) -> Iterator[np.ndarray]:
-    for piece in slices(column):
+def _sets(ids: pa.Array, texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The set of each row; rows of one document share the work."""
+    _, first, index = np.unique(ids.to_numpy(), return_index=True, return_inverse=True)
+    found = []
+    for piece in slices(texts.take(pa.array(first))):
         hashes, bounds = shingle_sets(piece, words)
-        for i in range(len(piece)):
-            yield hashes[bounds[i] : bounds[i + 1]]
+        found.extend(hashes[bounds[i] : bounds[i + 1]] for i in range(len(piece)))
+    return [found[i] for i in index]
 
 
 def _near_pairs(
-    reps: list[int], comps: list[int], values: np.ndarray, sizes: np.ndarray, rejected: list, chunks: int, percent: int
+    reps: list[int], comps: list[int], values: np.ndarray, sizes: np.ndarray, rejected: list, tie: int, limit: int, percent: int
 ) -> set[tuple[int, int]]:
     """Pairs of a cell to check: between different components, within the signature distance.
 
-    Members at the expected distance of a link are tied first, and one pair per tie is enough. For
-    what stays apart, each member gives its nearest unchecked partners in every other component;
-    the remaining ones come in later rounds.
+    Members within the distance ``tie`` are taken as linked, so one pair per tie is enough. For what
+    stays apart, each member gives its nearest unchecked partners in every other component; the
+    remaining ones come in later rounds, in which nothing is taken as linked.
     """
     _, group = np.unique(comps, return_inverse=True)
     group = group.copy()
-    tie, limit = chunks, 2 * chunks + 3
     close = []
     for i in range(len(reps) - 1):
         others = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
@@ -166,11 +168,12 @@ def refused(reps: list[int], rejected: list, i: int, j: int) -> bool:
     return rejected[i] is not None and reps[j] in rejected[i]
 
 
-def _searcher(chunks: int, percent: int):
+def _searcher(chunks: int, percent: int, first: bool):
     size = CHUNK * chunks
+    tie, limit = (chunks - 2 if first else -1), 2 * chunks + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
+        found: set[tuple[int, int, int]] = set()
         for _, rows in grouped(batches):
             rows.sort(key=lambda r: r[1])
             pairs = _near_pairs(
@@ -179,10 +182,11 @@ def _searcher(chunks: int, percent: int):
                 np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, size),
                 np.array([r[3] for r in rows], np.int64),
                 [r[5] and set(r[5]) for r in rows],
-                chunks,
+                tie,
+                limit,
                 percent,
             )
-            found |= pairs
+            found |= {(rows[0][6], a, b) for a, b in pairs}
             if len(found) > 100_000:
                 yield _pair_batch(found)
                 found = set()
@@ -192,9 +196,10 @@ def _searcher(chunks: int, percent: int):
     return run
 
 
-def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _pair_batch(pairs: set[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["key", "a", "b"]
+    )
 
 
 def _placed(buckets: DataFrame, linked: DataFrame) -> DataFrame:
@@ -243,13 +248,14 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, chu
     stars = counts.groupBy("rep").agg(F.max(F.struct("n", F.negative("centre").alias("c"))).alias("top"))
     pairs = stored(stars.select(F.negative("top.c").alias("a"), F.col("rep").alias("b")), "pairs")
     checked = confirm(pairs)
-    linked = placed = None
+    linked = placed = active = None
     fresh = True
     while True:
         if fresh:
             linked = stored(components(checked.where("linked")), "components")
             placed = stored(_placed(buckets, linked), "placed")
-        mixed = placed.groupBy("key").agg(
+        searched = placed if active is None else placed.join(active, "key", "left_semi")
+        mixed = searched.groupBy("key").agg(
             F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("n")
         )
         open_keys = mixed.where("_low < _high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -263,24 +269,29 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, chu
         # A large bucket is dealt to blocks and every two blocks form a cell of their own.
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         cells = (
-            placed.join(open_keys, "key")
+            searched.join(open_keys, "key")
             .withColumn("_own", own)
             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select(
-                F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("cell"), "rep", "comp"
+                F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("cell"), "rep", "comp", "key"
             )
             .join(classes.select("rep", "n_shingles", "signature"), "rep")
             .join(partners, "rep", "left")
-            .select("cell", "rep", "comp", "n_shingles", "signature", "rejected")
+            .select("cell", "rep", "comp", "n_shingles", "signature", "rejected", "key")
         )
-        pairs = stored(
+        found = stored(
             in_tasks(
-                cells.repartition("cell").sortWithinPartitions("cell"), _searcher(chunks, percent), "a long, b long"
-            ).distinct(),
-            "pairs",
+                cells.repartition("cell").sortWithinPartitions("cell"),
+                _searcher(chunks, percent, active is None),
+                "key long, a long, b long",
+            ),
+            "found",
         )
-        if pairs.isEmpty():
+        if found.isEmpty():
             break
+        pairs = found.select("a", "b").distinct()
+        # Refusals and ties only take pairs away, so a bucket that gave none has none to come.
+        active = found.select("key").distinct()
         answers = confirm(pairs)
         fresh = not answers.where("linked").isEmpty()
         checked = stored(checked.union(answers), "checked")

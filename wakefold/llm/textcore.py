@@ -70,7 +70,7 @@ class Slice:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[Slice]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[Slice]:
     """Cuts a text column (null: empty) into runs of whole texts of about ``most`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
