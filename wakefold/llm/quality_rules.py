@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COMMON = 24
 LANGUAGES = 256
 LEAST_CHARS = 400
@@ -34,57 +33,63 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more.
+def with_repeated_words(frame: DataFrame, hashes: str, name: str) -> DataFrame:
+    """Adds the number of words inside 3-word windows that occur twice or more.
 
     ``hashes`` has the 64-bit hash of every window in order. Windows are sorted by hash with their
     place; equal neighbours are the repeated ones. The k-th place in order covers up to 3 new words.
+    Each step is a column of its own, so that none is computed more than once.
     """
-    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(placed)
+    column = F.col(hashes)
+    some = F.size(F.array_distinct(column)) < F.size(column)
+    placed = F.sort_array(F.transform(column, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    n = F.size("_placed")
     pairs = F.zip_with(
-        F.slice(placed, F.lit(1), n - 1),
-        F.slice(placed, F.lit(2), n - 1),
+        F.slice("_placed", F.lit(1), n - 1),
+        F.slice("_placed", F.lit(2), n - 1),
         lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])),
     )
-    places = F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
-    m = F.size(places)
+    places = F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
+    m = F.size("_places")
     gaps = F.zip_with(
-        F.slice(places, F.lit(1), m - 1), F.slice(places, F.lit(2), m - 1), lambda a, b: F.least(b - a, F.lit(3))
+        F.slice("_places", F.lit(1), m - 1), F.slice("_places", F.lit(2), m - 1), lambda a, b: F.least(b - a, F.lit(3))
     )
     covered = F.aggregate(gaps, F.lit(3), lambda total, gap: total + gap)
-    some = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    return F.when(some, covered).otherwise(F.lit(0)).cast("long")
+    steps = frame.withColumn("_placed", F.when(some, placed)).withColumn("_places", F.when(n > 1, places))
+    counted = F.when(m > 1, covered).otherwise(F.lit(0)).cast("long")
+    return steps.withColumn(name, counted).drop("_placed", "_places")
 
 
-def distance(own: Column, usual: Column) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of shares."""
+def _total(counts: Column) -> Column:
+    return F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
 
-    def part(p: Column, q: Column) -> Column:
-        return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
 
-    parts = F.zip_with(own, usual, lambda p, q: part(p, q) + part(q, p))
-    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+def _shares(counts: Column, n: Column) -> Column:
+    # The total is an array beside the counts: inside a lambda it would be summed again for each.
+    return F.zip_with(counts, F.array_repeat(_total(counts), n), lambda c, total: c / total)
 
 
-def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(counts, lambda c: c / F.greatest(total, F.lit(1)))
+def distance(counts: Column, usual: Column) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) between counts and an array of shares."""
 
+    def part(p: Column, q: Column) -> Column:
+        return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
 
-def _class_counts(text: Column) -> Column:
-    """Characters of each class, and all others."""
-    named = [_left(text, pattern) for pattern in CLASSES.values()]
-    rest = F.length(text).cast("long")
-    for n in named:
-        rest = rest - n
-    return F.array(*named, rest)
+    parts = F.zip_with(_shares(counts, F.size(usual)), usual, lambda p, q: part(p, q) + part(q, p))
+    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
 def _measured(documents: DataFrame, keep: list[str]) -> DataFrame:
+    """Text, language and ``_classes``: characters of each class, and all others."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select(*keep, F.coalesce("lang", F.lit("")).alias("_lang"), text.alias("_text"))
+    rows = documents.select(*keep, F.coalesce("lang", F.lit("")).alias("_lang"), text.alias("_text"))
+    rows = rows.select("*", *[_left(F.col("_text"), pattern).alias(f"_{name}") for name, pattern in CLASSES.items()])
+    named = [F.col(f"_{name}") for name in CLASSES]
+    rest = F.length("_text").cast("long")
+    for n in named:
+        rest = rest - n
+    return rows.select(*keep, "_lang", "_text", F.array(*named, rest).alias("_classes"))
 
 
 def references(documents: DataFrame) -> DataFrame:
@@ -93,14 +98,13 @@ def references(documents: DataFrame) -> DataFrame:
     All documents of a language count. At most ``LANGUAGES`` languages, those with the most
     documents, have a reference; documents in others are judged by the base rules only.
     """
-    rows = _measured(documents, []).withColumn("_classes", _class_counts(F.col("_text")))
+    rows = _measured(documents, [])
     n = len(CLASSES) + 1
     classes = rows.groupBy("_lang").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(n)]
     )
     classes = classes.orderBy(F.desc("n"), "_lang").limit(LANGUAGES)
-    lowered = F.translate("_text", UPPER, LOWER)
-    counted = rows.select("_lang", F.explode(words_of(lowered)).alias("w")).groupBy("_lang", "w").agg(
+    counted = rows.select("_lang", F.explode(words_of(F.lower("_text"))).alias("w")).groupBy("_lang", "w").agg(
         F.count(F.lit(1)).alias("k")
     )
     totals = counted.groupBy("_lang").agg(F.sum("k").alias("total"))
@@ -115,9 +119,9 @@ def references(documents: DataFrame) -> DataFrame:
     entry = F.struct(
         F.col("_lang").alias("key"),
         F.struct(
-            _shares(F.array(*[F.col(f"c{i}") for i in range(n)])).alias("classes"),
+            _shares(F.array(*[F.col(f"c{i}") for i in range(n)]), F.lit(n)).alias("classes"),
             F.transform(top, lambda t: t["w"]).alias("words"),
-            _shares(F.concat(known, F.array(rest))).alias("shares"),
+            _shares(F.concat(known, F.array(rest)), F.size(top) + 1).alias("shares"),
         ).alias("value"),
     )
     return joined.agg(F.map_from_entries(F.collect_list(entry)).alias("references"))
@@ -149,8 +153,8 @@ def rule_values(documents: DataFrame) -> DataFrame:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")).alias("_windows"),
         F.length("_text").alias("_chars"),
-        _class_counts(F.col("_text")).alias("_classes"),
-        F.transform("_words", lambda w: F.translate(w, UPPER, LOWER)).alias("_words"),
+        "_classes",
+        words_of(F.lower("_text")).alias("_words"),
         usual["words"].alias("_common"),
         usual["classes"].alias("_class_shares"),
         usual["shares"].alias("_shares"),
@@ -163,15 +167,15 @@ def rule_values(documents: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size("_common")),
         lambda k: (F.size("_codes") - F.size(F.array_remove("_codes", k.cast("long")))).cast("long"),
     )
-    own = F.concat(known, F.array(F.col("n_words") - F.size("_codes")))
+    own = F.concat(known, F.array(F.size("_words").cast("long") - F.size("_codes")))
     some = F.size("_common") > 0
-    valued = coded.select(
+    valued = with_repeated_words(coded.withColumn("_own", own), "_windows", "n_repeat_words").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        repeated_words(F.col("_windows")).alias("n_repeat_words"),
-        F.when(F.col("_chars") >= LEAST_CHARS, distance(_shares(F.col("_classes")), F.col("_class_shares"))).alias(
+        "n_repeat_words",
+        F.when(F.col("_chars") >= LEAST_CHARS, distance(F.col("_classes"), F.col("_class_shares"))).alias(
             "class_distance"
         ),
-        F.when(some & (F.col("n_words") >= LEAST_WORDS), distance(_shares(own), F.col("_shares"))).alias("common_distance"),
+        F.when(some & (F.col("n_words") >= LEAST_WORDS), distance(F.col("_own"), F.col("_shares"))).alias("common_distance"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = F.coalesce(F.col("class_distance") > MOST_CLASSES, F.lit(False)) | F.coalesce(
