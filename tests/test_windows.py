@@ -82,7 +82,14 @@ def test_one_point_has_no_sample_deviation(spark):
 
 def test_plan_limits_before_the_shuffle(spark):
     points = frame(spark, [("a", 10, 1.0, 2.0, 3.0, 4.0, 1, 0)])
-    kept = windows.window_points(points, ["id"], F.lit(0).cast("long"), 50, 50)
+    kept = windows.window_points(points, ["id"], F.lit(0).cast("long"), 50, 50, 250)
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "PythonUDF" not in plan
+
+
+def test_a_window_holds_all_its_points(spark):
+    rows = [("hot", k, k / 1000, 2.0, 1.0, 4.0, 1, k) for k in range(1000)]
+    kept = windows.window_points(frame(spark, rows), ["id"], F.lit(0).cast("long"), 1000, 1000)
+    geometry = {r.window_index: r for r in windows.window_geometry(kept, ["id"]).collect()}
+    assert geometry[0].n_points == 1000 and abs(geometry[0].max_lon - 0.999) < 1e-9

@@ -11,7 +11,6 @@ from wakefold.functions import textual
 from wakefold.functions.geo import haversine_km, planar_bearing
 from wakefold.functions.timefmt import TEXT_FORMAT
 from wakefold.operators.segments import TURN_DEGREES
-from wakefold.schemas import MAX_POINTS_PER_WINDOW
 
 ORDER = ["ts_s", "event_index", "pos"]
 
@@ -61,9 +60,9 @@ def window_points(
     start_s: Column,
     size_s: int,
     step_s: int,
-    max_points: int = MAX_POINTS_PER_WINDOW,
+    max_points: int | None = None,
 ) -> DataFrame:
-    """The first ``max_points`` points of each window, in the order of ``ORDER``.
+    """The points of each window; with ``max_points`` the first of them in the order of ``ORDER``.
 
     A point that is not among the first ``max_points`` of its cell cannot be among the first
     of any window, because a window holds whole cells. So the limit is first taken per cell,
@@ -71,6 +70,8 @@ def window_points(
     the shuffle, which keeps a crowded cell from reaching one task, and every window then
     receives a bounded number of rows.
     """
+    if max_points is None:
+        return assign_windows(points, start_s, size_s, step_s)
     cells = points.withColumn("cell", window_cell(F.col("ts_s"), start_s, size_s, step_s))
     in_cell = Window.partitionBy(*keys, "cell").orderBy(*ORDER)
     few = cells.withColumn("rank", F.row_number().over(in_cell)).where(F.col("rank") <= max_points)
@@ -134,7 +135,7 @@ def window_features(windowed: DataFrame, keys: list[str]) -> DataFrame:
     ``stagnation_time``, ``low_speed_percentage``,
     ``average_time_diff_between_consecutive_points``). As in the stored form those totals are
     added or averaged once per point; ``*_in_window`` columns hold the values of the window
-    itself. Deviations are sample deviations. Arrays are bounded by the points per window.
+    itself. Deviations are sample deviations. Arrays hold every point of the window.
     """
     stepped = window_steps(windowed, keys)
     is_step = F.col("p_ts_s").isNotNull()
@@ -223,7 +224,7 @@ def sliding_windows(
     keys: list[str],
     size_s: int,
     step_s: int,
-    max_points: int = MAX_POINTS_PER_WINDOW,
+    max_points: int | None = None,
 ) -> DataFrame:
     """Window blocks of exploded trajectory points that carry their request's bounds.
 

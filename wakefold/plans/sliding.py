@@ -30,12 +30,12 @@ def vessel_points(t: Tables) -> DataFrame:
     )
 
 
-def _windowed(t: Tables, max_points: int = 250) -> DataFrame:
+def _windowed(t: Tables, max_points: int | None = None) -> DataFrame:
     start = F.lit(START_S).cast("long")
     return windows.window_points(vessel_points(t), ["id"], start, SIZE_S, STEP_S, max_points)
 
 
-def _assign_sql(limit: int | None = 250) -> str:
+def _assign_sql(limit: int | None = None) -> str:
     kept = f"WHERE rn <= {limit}" if limit else ""
     return f"""
       secs AS (SELECT id, ts // 1000 AS ts_s, lon, lat, sog, cog, pos_key FROM points),
@@ -100,13 +100,13 @@ _ALL_SQL = (
     sql_with("points", extra=_ALL_SQL)
     + """SELECT id, window_index, n_points, round(path_km, 6) AS path_km, round(sum_sog, 6) AS sum_sog,
                 round(sum_cog_delta, 6) AS sum_cog_delta, round(wn, 6) AS trajectory_redundancy,
-                CASE WHEN wn > 3 THEN 'LOITERING' ELSE 'NON-LOITERING' END AS behavior_type_by_loitering_equation
+                CASE WHEN wn > 1 THEN 'LOITERING' ELSE 'NON-LOITERING' END AS behavior_type_by_loitering_equation
          FROM scored""",
 )
 def loitering_sliding(t: Tables) -> DataFrame:
     """Flagship: windows of every vessel, scored by the speed-and-turn equation."""
     geometry = windows.window_geometry(_windowed(t), ["id"])
-    scored = loitering.classify_geometry(geometry, "wn", threshold=3.0)
+    scored = loitering.classify_geometry(geometry, "wn", threshold=1.0)
     return scored.select(
         "id", "window_index", "n_points",
         *[F.round(c, 6).alias(c) for c in ("path_km", "sum_sog", "sum_cog_delta", "trajectory_redundancy")],
@@ -166,7 +166,7 @@ _REQUEST_WIN = f"""
         CAST(floor((ts_s - start_s) / {REQUEST_STEP_S}) AS BIGINT) + 1)) AS k) k),
   req_ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id, id, window_index
       ORDER BY ts_s, event_index, pos) AS rn FROM req_assigned),
-  req_win AS (SELECT *, ts_s * 1000 AS ts, pos AS pos_key FROM req_ranked WHERE rn <= 250)"""
+  req_win AS (SELECT *, ts_s * 1000 AS ts, pos AS pos_key FROM req_ranked)"""
 
 _REQUEST_SQL = (
     _PICK + "," + _PARENTS + "," + _REQUEST_WIN + ","

@@ -37,7 +37,6 @@ FEATURES = [
 
 RESOLUTIONS = [120, 128, 224, 256, 299, 384, 512, 640]
 
-MAX_POINTS_PER_WINDOW = 250
 # End of fixed values.
 
 HOUR_MS = 3_600_000
