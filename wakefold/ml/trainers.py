@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import (
-    Imputer, IndexToString, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
+    Imputer, IndexToString, StandardScaler, StringIndexerModel, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -52,9 +52,8 @@ def pipeline(classifier: Estimator, features: list[str], labels: list[str], stra
     label is an error.
     """
     filled = [f"{f}_filled" for f in features]
-    indexer = StringIndexer(
-        inputCol=LABEL, outputCol="label", handleInvalid="error", stringOrderType="alphabetAsc"
-    )
+    # Numbers follow the listed labels, so a label without rows does not shift the names of the rest.
+    indexer = StringIndexerModel.from_labels(sorted(labels), LABEL, "label", "error")
     return Pipeline(
         stages=[
             Imputer(inputCols=features, outputCols=filled, strategy=strategy),
