@@ -4,7 +4,8 @@ A document's set is its distinct w-word shingles. Its signature has ``5 * chunks
 16 bits, each the tail of a minimum under another hash. By the pigeonhole principle two signatures
 that differ in at most ``2 * chunks - 1`` components differ in at most one component of some chunk
 of five. Each chunk is therefore indexed five times, once without each component: every such pair
-meets in a bucket. At similarity 0.8 a pair is missed with probability about 1e-7.
+meets in a bucket. Pairs that meet are compared up to a distance of ``2 * chunks + 2``. With 12 chunks a
+pair at similarity 0.8 is missed with probability about 1e-5, at 0.85 about 3e-8.
 
 Buckets of any size are used whole. Each document is first checked against the bucket centre it
 meets most often; after that only buckets which still hold several components are searched, by
