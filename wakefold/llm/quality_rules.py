@@ -17,9 +17,10 @@ LEAST_CHARS = 400
 LEAST_WORDS = 100
 MOST_CLASSES = 0.30
 MOST_COMMON = 0.60
-# Character classes by what is taken away to count them.
+# Lower-case letters, then the other character classes by what is taken away to count them.
+LOWER = "[a-z]+"
 CLASSES = {
-    "lower": "[^a-z]+", "upper": "[^A-Z]+", "digit": "[^0-9]+", "space": "[^ \\t-\\r]+",
+    "upper": "[^A-Z]+", "digit": "[^0-9]+", "space": "[^ \\t-\\r]+",
     "symbol": "[^#*$%&|<>{}\\[\\]=_~^@\\\\/+]+",
 }
 SYMBOLS = "[^#*$%&|<>]+"
@@ -81,15 +82,21 @@ def distance(counts: Column, usual: Column) -> Column:
 
 
 def _measured(documents: DataFrame, keep: list[str]) -> DataFrame:
-    """Text, language and ``_classes``: characters of each class, and all others."""
+    """Text, language, ``_classes``: characters of each class, and all others, and ``_rest``.
+
+    ``_rest`` is the text without its lower-case letters. All other classes are counted on that
+    short remainder, so that only one pass is made over the whole text.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(*keep, F.coalesce("lang", F.lit("")).alias("_lang"), text.alias("_text"))
-    rows = rows.select("*", *[_left(F.col("_text"), pattern).alias(f"_{name}") for name, pattern in CLASSES.items()])
-    named = [F.col(f"_{name}") for name in CLASSES]
+    rows = rows.withColumn("_rest", F.regexp_replace("_text", LOWER, ""))
+    counted = [_left(F.col("_rest"), pattern).alias(f"_{name}") for name, pattern in CLASSES.items()]
+    rows = rows.select("*", (F.length("_text") - F.length("_rest")).cast("long").alias("_lower"), *counted)
+    named = [F.col("_lower"), *[F.col(f"_{name}") for name in CLASSES]]
     rest = F.length("_text").cast("long")
     for n in named:
         rest = rest - n
-    return rows.select(*keep, "_lang", "_text", F.array(*named, rest).alias("_classes"))
+    return rows.select(*keep, "_lang", "_text", "_rest", "_space", F.array(*named, rest).alias("_classes"))
 
 
 def references(documents: DataFrame) -> DataFrame:
@@ -99,7 +106,7 @@ def references(documents: DataFrame) -> DataFrame:
     documents, have a reference; documents in others are judged by the base rules only.
     """
     rows = _measured(documents, [])
-    n = len(CLASSES) + 1
+    n = len(CLASSES) + 2
     classes = rows.groupBy("_lang").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(n)]
     )
@@ -138,18 +145,17 @@ def rule_values(documents: DataFrame) -> DataFrame:
     rows = _measured(documents, ["doc_id"])
     cut = rows.withColumn("_words", words_of(F.col("_text")))
     n = F.size("_words")
-    windows = F.zip_with(
-        F.zip_with(F.slice("_words", F.lit(1), n - 2), F.slice("_words", F.lit(2), n - 2), lambda a, b: F.struct(a, b)),
-        F.slice("_words", F.lit(3), n - 2),
-        lambda ab, c: F.xxhash64(ab, c),
+    windows = F.transform(
+        F.slice("_words", F.lit(1), n - 2),
+        lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)),
     )
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     usual = F.element_at(reference, F.col("_lang"))
     counted = cut.select(
         "doc_id",
         n.cast("long").alias("n_words"),
-        _left(F.col("_text"), r"[ \t-\r]+").alias("word_chars"),
-        _left(F.col("_text"), SYMBOLS).alias("n_symbols"),
+        (F.length("_text") - F.col("_space")).cast("long").alias("word_chars"),
+        _left(F.col("_rest"), SYMBOLS).alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")).alias("_windows"),
         F.length("_text").alias("_chars"),
