@@ -16,7 +16,9 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[C
 
     One shuffle: both sides are unioned and the winner taken by ``row_number``, whose limit
     Spark applies before the shuffle too. Columns are those of the target; columns missing in
-    the updates become null. Applying the same updates again changes nothing.
+    the updates become null. Applying the same updates again changes nothing. Where both sides have
+    a ``part``, the rows of a key are the parts of one trajectory and are replaced together;
+    ``order`` must then be the same for all parts of a revision.
     """
     for key in keys:
         if key not in updates.columns:
@@ -25,32 +27,59 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[C
         updates.withColumn("_new", F.lit(1)), allowMissingColumns=True
     )
     newest = Window.partitionBy(*keys).orderBy(F.desc("_new"), *order)
+    if "part" in target.columns and "part" in updates.columns:
+        # All parts of the newest revision stay, and older parts go even where it has fewer.
+        both = both.withColumn("_revision", F.rank().over(newest)).where(F.col("_revision") == 1)
+        newest = Window.partitionBy(*keys, "part").orderBy(F.desc("_new"), *order)
     ranked = both.withColumn("_at", F.row_number().over(newest)).where(F.col("_at") == 1)
     return ranked.select(*target.columns)
 
 
-def valid_trajectories(updates: DataFrame) -> DataFrame:
-    """Updates that can be stored: at least two positions and no null in the key.
+def _named(updates: DataFrame) -> DataFrame:
+    """The vessel may be called ``id``; both spellings of the event number are accepted."""
+    for other, name in (("id", "mmsi"), ("EventIndex", "event_index")):
+        if name not in updates.columns and other in updates.columns:
+            updates = updates.withColumnRenamed(other, name)
+    return updates
 
-    The vessel may be called ``id``; both spellings of the event number are accepted.
-    """
-    if "mmsi" not in updates.columns and "id" in updates.columns:
-        updates = updates.withColumnRenamed("id", "mmsi")
-    if "event_index" not in updates.columns and "EventIndex" in updates.columns:
-        updates = updates.withColumnRenamed("EventIndex", "event_index")
-    keyed = updates
-    for key in TRAJECTORY_KEYS:
-        keyed = keyed.where(F.col(key).isNotNull())
-    return keyed.where(is_valid_linestring(F.col("trajectory")))
+
+def _reason(updates: DataFrame, keys: list[str]) -> Column:
+    """Why a row cannot be stored, or null. Only part 0 of a long trajectory needs two positions."""
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    short = ~is_valid_linestring(F.col("trajectory"))
+    if "part" in updates.columns:
+        short = short & (F.col("part") == 0)
+    return F.when(missing, F.lit("key")).when(short, F.lit("trajectory"))
+
+
+def rejected(updates: DataFrame, keys: list[str] = TRAJECTORY_KEYS) -> DataFrame:
+    """Updates that cannot be stored with their ``reason``: ``key`` for a null in the key, else ``trajectory``."""
+    named = _named(updates)
+    return named.withColumn("reason", _reason(named, keys)).where("reason IS NOT NULL")
+
+
+def valid_trajectories(updates: DataFrame, keys: list[str] = TRAJECTORY_KEYS) -> DataFrame:
+    """Updates that can be stored: at least two positions and no null in the key."""
+    named = _named(updates)
+    return named.where(_reason(named, keys).isNull())
 
 
 def validity_counts(updates: DataFrame) -> DataFrame:
-    """Rows processed, valid and rejected, in one pass."""
-    valid = is_valid_linestring(F.col("trajectory"))
-    return updates.agg(
+    """Trajectories processed, valid and rejected, in one pass.
+
+    A trajectory of several parts counts once, by its part 0; that one is full whenever there are others.
+    """
+    whole = updates.where("part = 0") if "part" in updates.columns else updates
+    ok = is_valid_linestring(F.col("trajectory"))
+    if set(TRAJECTORY_KEYS) <= set(_named(whole).columns):
+        whole = _named(whole)
+        ok = _reason(whole, TRAJECTORY_KEYS).isNull()
+    return whole.agg(
         F.count(F.lit(1)).alias("processed"),
-        F.count_if(valid).alias("valid"),
-        F.count_if(~valid).alias("rejected"),
+        F.count_if(ok).alias("valid"),
+        F.count_if(~ok).alias("rejected"),
     )
 
 
@@ -59,7 +88,7 @@ def upsert_trajectories(target: DataFrame, updates: DataFrame, order: list[Colum
 
 
 def as_predictions(scored: DataFrame) -> DataFrame:
-    """Scored window blocks as prediction rows: set-valued keys become their least element."""
+    """Scored window blocks with a readable path; each set-valued key becomes its least element."""
     return scored.withColumns(
         {
             "aggregated_ais_data_id": F.array_min("primary_key_from_aggregated_ais_data"),

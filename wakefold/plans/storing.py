@@ -86,7 +86,8 @@ def bucket_size_estimate(t: Tables) -> DataFrame:
 def upsert_trajectories(t: Tables) -> DataFrame:
     """Two revisions of each update arrive; the later one wins."""
     stored = t.stored.select(
-        F.col("id").alias("mmsi"), "event_index", "behavior_type_label", "trajectory", "average_speed", "n_points"
+        F.col("id").alias("mmsi"), "event_index", "behavior_type_label", "part", "trajectory", "average_speed",
+        "n_points",
     )
     target = upsert.valid_trajectories(stored.where(F.col("behavior_type_label") != "NORMAL"))
     changed = stored.where(F.col("behavior_type_label") != "STOPPING")
@@ -94,7 +95,7 @@ def upsert_trajectories(t: Tables) -> DataFrame:
         "average_speed", F.col("average_speed") * F.col("revision")
     )
     merged = upsert.upsert_trajectories(target, updates, [F.desc("revision")])
-    return merged.select(
+    return merged.where("part = 0").select(
         "mmsi", "event_index", "behavior_type_label", F.round("average_speed", 6).alias("average_speed"), "n_points"
     )
 
