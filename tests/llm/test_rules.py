@@ -67,6 +67,31 @@ def test_divergence_rejects_symbols_and_keeps_prose(spark):
     assert not got.pop(99) and all(got.values())
 
 
+def _spoken(language, seed, n, share=0.25):
+    """Words of an invented language, of which ``share`` are its 24 common ones."""
+    import random
+
+    chance = random.Random(f"{language}{seed}")
+    common, weights = [f"{language}{chr(97 + k)}" for k in range(24)], [1 / k for k in range(1, 25)]
+    return " ".join(
+        chance.choices(common, weights)[0] if chance.random() < share else f"{language}word{chr(97 + chance.randrange(26))}{chance.randrange(10**6)}"
+        for _ in range(n)
+    )
+
+
+def _in_languages(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_divergence_rejects_foreign_prose_and_word_lists(spark):
+    clean = [(k, _spoken("xy"[k % 2], k, 100 + 10 * k), "xy"[k % 2]) for k in range(60)]
+    foreign = [(100 + k, _spoken("z", k, 100 + 50 * k), "xy"[k % 2]) for k in range(4)]
+    lists = [(200 + k, _spoken("xy"[k % 2], k, 120 + 50 * k, 0), "xy"[k % 2]) for k in range(4)]
+    got = quality_rules.rule_values(_in_languages(spark, clean + foreign + lists)).collect()
+    assert {r.doc_id for r in got if r.kept} == {i for i, _, _ in clean}
+    assert not any(r.base_failed for r in got)
+
+
 def test_shards_are_minimax_and_whole(spark):
     rows = [(k, prose(k, k % 40 + 1)) for k in range(150)] + [(500 + k, "same text") for k in range(60)] + [(None, None), (7, "")]
     got = sharding.sharded(documents(spark, rows)).collect()

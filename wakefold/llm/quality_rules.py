@@ -16,7 +16,12 @@ LANGUAGES = 256
 LEAST_CHARS = 400
 LEAST_WORDS = 100
 MOST_CLASSES = 0.30
+# No document may lie further from the common words than this. Where a language's common words are
+# expected LEAST_EXPECTED times in all, neither may it reach this part of the distance of a document
+# that has none of them: below that number chance alone takes clean documents as far.
 MOST_COMMON = 0.60
+PART_OF_NONE = 0.8
+LEAST_EXPECTED = 24
 # Lower-case letters, then the other character classes by what is taken away to count them.
 LOWER = "[a-z]+"
 CLASSES = {
@@ -100,9 +105,9 @@ def _measured(documents: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def references(documents: DataFrame) -> DataFrame:
-    """One row: a map from language to its class shares, common words and their shares.
+    """One row: a map from language to its class shares, common words, their shares and limit.
 
-    All documents of a language count. At most ``LANGUAGES`` languages, those with the most
+    The limit is ``PART_OF_NONE`` of the distance of a document with none of the common words. All documents of a language count. At most ``LANGUAGES`` languages, those with the most
     documents, have a reference; documents in others are judged by the base rules only.
     """
     rows = _measured(documents, [])
@@ -123,15 +128,18 @@ def references(documents: DataFrame) -> DataFrame:
     top = F.coalesce("top", F.expr("array()").cast("array<struct<w:string,k:bigint>>"))
     known = F.transform(top, lambda t: t["k"])
     rest = F.coalesce("total", F.lit(0)) - F.aggregate(known, F.lit(0).cast("long"), lambda a, x: a + x)
+    shared = joined.select(
+        "_lang",
+        _shares(F.array(*[F.col(f"c{i}") for i in range(n)]), F.lit(n)).alias("classes"),
+        F.transform(top, lambda t: t["w"]).alias("words"),
+        _shares(F.concat(known, F.array(rest)), F.size(top) + 1).alias("shares"),
+    )
+    none = F.concat(F.array_repeat(F.lit(0).cast("long"), F.size("words")), F.array(F.lit(1).cast("long")))
+    limit = F.least(PART_OF_NONE * distance(none, F.col("shares")), F.lit(MOST_COMMON))
     entry = F.struct(
-        F.col("_lang").alias("key"),
-        F.struct(
-            _shares(F.array(*[F.col(f"c{i}") for i in range(n)]), F.lit(n)).alias("classes"),
-            F.transform(top, lambda t: t["w"]).alias("words"),
-            _shares(F.concat(known, F.array(rest)), F.size(top) + 1).alias("shares"),
-        ).alias("value"),
+        F.col("_lang").alias("key"), F.struct("classes", "words", "shares", limit.alias("limit")).alias("value")
     )
-    return joined.agg(F.map_from_entries(F.collect_list(entry)).alias("references"))
+    return shared.agg(F.map_from_entries(F.collect_list(entry)).alias("references"))
 
 
 def rule_values(documents: DataFrame) -> DataFrame:
@@ -164,6 +172,7 @@ def rule_values(documents: DataFrame) -> DataFrame:
         usual["words"].alias("_common"),
         usual["classes"].alias("_class_shares"),
         usual["shares"].alias("_shares"),
+        usual["limit"].alias("_limit"),
     )
     coded = counted.withColumn(
         "_codes",
@@ -175,6 +184,7 @@ def rule_values(documents: DataFrame) -> DataFrame:
     )
     own = F.concat(known, F.array(F.size("_words").cast("long") - F.size("_codes")))
     some = F.size("_common") > 0
+    expected = F.col("n_words") * (1 - F.element_at("_shares", -1))
     valued = with_repeated_words(coded.withColumn("_own", own), "_windows", "n_repeat_words").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words",
@@ -182,10 +192,11 @@ def rule_values(documents: DataFrame) -> DataFrame:
             "class_distance"
         ),
         F.when(some & (F.col("n_words") >= LEAST_WORDS), distance(F.col("_own"), F.col("_shares"))).alias("common_distance"),
+        F.when(some & (expected >= LEAST_EXPECTED), F.col("_limit")).otherwise(F.lit(MOST_COMMON)).alias("_limit"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = F.coalesce(F.col("class_distance") > MOST_CLASSES, F.lit(False)) | F.coalesce(
-        F.col("common_distance") > MOST_COMMON, F.lit(False)
+        F.col("common_distance") > F.col("_limit"), F.lit(False)
     )
     return valued.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
