@@ -6,7 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.classification import (
+    LinearSVC, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier,
+)
 from pyspark.ml.feature import (
     Imputer, IndexToString, StandardScaler, StringIndexerModel, VectorAssembler,
 )
@@ -24,6 +26,7 @@ from wakefold.schemas import FEATURES
 LABEL = "behavior_type_label"
 KEY = "row_key"
 ROWS_PER_TASK = 50_000
+UNLIMITED_DEPTH = 30  # MLlib builds no deeper trees
 
 
 def svm(max_iterations: int = 20, regularization: float = 0.0) -> Estimator:
@@ -35,7 +38,7 @@ def svm(max_iterations: int = 20, regularization: float = 0.0) -> Estimator:
 
 
 def forest(trees: int = 100, depth: int | None = None, seed: int = 42) -> Estimator:
-    """MLlib trees are at most 30 deep; 5 when no depth is given."""
+    """Trees are 5 deep when no depth is given; ``UNLIMITED_DEPTH`` for as deep as MLlib builds them."""
     return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth or 5, seed=seed)
 
 
@@ -108,6 +111,23 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return rows
 
 
+def first_trees(model: PipelineModel, count: int) -> PipelineModel:
+    """The pipeline with the first ``count`` trees of its forest; all else as fitted."""
+
+    def cut(stage):
+        if not isinstance(stage, RandomForestClassificationModel):
+            return stage
+        gateway = SparkSession.active().sparkContext._gateway
+        kind = gateway.jvm.org.apache.spark.ml.classification
+        trees = gateway.new_array(kind.DecisionTreeClassificationModel, count)
+        for i, tree in enumerate(stage.trees[:count]):
+            trees[i] = tree._java_obj
+        fewer = kind.RandomForestClassificationModel(stage.uid, trees, stage.numFeatures, stage.numClasses)
+        return RandomForestClassificationModel(fewer)
+
+    return PipelineModel([cut(stage) for stage in model.stages])
+
+
 def confusion_rows(model: PipelineModel, rows: DataFrame, labels: list[str], *group) -> list[tuple]:
     """Counts per (label, predicted) after ``group``; at most ``len(labels)**2`` of them."""
     counts = confusion_counts(score(model, rows), LABEL, "predicted")
@@ -131,15 +151,21 @@ class Trained:
 
 
 def cross_validate(
-    train: DataFrame, build: Callable[[], Pipeline], labels: list[str], folds: int, seed: int, step: int = 0
+    train: DataFrame, build: Callable[[], Pipeline], labels: list[str], folds: int, seed: int, step: int = 0,
+    trees: list[int] | None = None,
 ) -> list[tuple]:
-    """Confusion rows of every fold, each scored by a model that never saw it."""
+    """Confusion rows of every fold, each scored by a model that never saw it.
+
+    With ``trees``, the model is a forest and each of these numbers of its first trees is a step.
+    """
     packed = train.rdd.getNumPartitions()
     folded = kfold_assign(train, LABEL, KEY, folds, seed).repartition(packed, KEY).persist()
     counted = []
     for fold in range(folds):
         model = build().fit(folded.where(F.col("fold") != fold))
-        counted += confusion_rows(model, folded.where(F.col("fold") == fold), labels, "cv", step, fold)
+        held_out = folded.where(F.col("fold") == fold)
+        for at, scorer in [(k, first_trees(model, k)) for k in trees] if trees else [(step, model)]:
+            counted += confusion_rows(scorer, held_out, labels, "cv", at, fold)
     folded.unpersist()
     return counted
 
@@ -191,10 +217,18 @@ def learning_curve(
     seed: int = 42,
     features: list[str] | None = None,
 ) -> DataFrame:
-    """Fold-averaged accuracy and macro scores per number of iterations or trees."""
+    """Fold-averaged accuracy and macro scores per number of iterations or trees.
+
+    A forest is fitted once per fold with the most trees; a smaller step scores its first trees.
+    """
     data = training_table(table, labels, None, 0.2, seed, features).where(F.col("split") == "train")
     used = usable_features(data, features or FEATURES)
-    counted = []
+    largest = classifier_at(max(steps))
+    if isinstance(largest, RandomForestClassifier):
+        counted = cross_validate(data, lambda: pipeline(largest, used, labels), labels, folds, seed, trees=steps)
+        steps = []
+    else:
+        counted = []
     for step in steps:
         def build(step: int = step) -> Pipeline:
             return pipeline(classifier_at(step), used, labels)
