@@ -92,6 +92,19 @@ def test_divergence_rejects_foreign_prose_and_word_lists(spark):
     assert not any(r.base_failed for r in got)
 
 
+def test_every_language_is_judged(spark, monkeypatch):
+    rows = [(k, _spoken("xy"[k % 2], k, 150 + k), "xy"[k % 2]) for k in range(40)]
+    rows += [(100 + k, _spoken("z", k, 300), "xy"[k]) for k in range(2)] + [(None, None, None), (7, "", ""), (200, prose(1, 90), "w")]
+    seen = []
+    for most in (256, 1):
+        monkeypatch.setattr(quality_rules, "LANGUAGES", most)
+        seen.append(Counter(map(tuple, quality_rules.rule_values(_in_languages(spark, rows)).collect())))
+    assert seen[0] == seen[1] and sum(seen[0].values()) == len(rows)
+    many = [(k, prose(k, 200), f"tag{k // 2}") for k in range(600)]
+    monkeypatch.undo()
+    assert all(r.class_distance is not None for r in quality_rules.rule_values(_in_languages(spark, many)).collect())
+
+
 def test_shards_are_minimax_and_whole(spark):
     rows = [(k, prose(k, k % 40 + 1)) for k in range(150)] + [(500 + k, "same text") for k in range(60)] + [(None, None), (7, "")]
     got = sharding.sharded(documents(spark, rows)).collect()

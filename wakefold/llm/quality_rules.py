@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakefold.llm.store import stored
+
 COMMON = 24
 LANGUAGES = 256
 LEAST_CHARS = 400
@@ -105,17 +107,16 @@ def _measured(documents: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def references(documents: DataFrame) -> DataFrame:
-    """One row: a map from language to its class shares, common words, their shares and limit.
+    """One row per language: number of documents, class shares, common words, their shares and limit.
 
-    The limit is ``PART_OF_NONE`` of the distance of a document with none of the common words. All documents of a language count. At most ``LANGUAGES`` languages, those with the most
-    documents, have a reference; documents in others are judged by the base rules only.
+    The limit is ``PART_OF_NONE`` of the distance of a document with none of the common words. All
+    documents of a language count.
     """
     rows = _measured(documents, [])
     n = len(CLASSES) + 2
     classes = rows.groupBy("_lang").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(n)]
     )
-    classes = classes.orderBy(F.desc("n"), "_lang").limit(LANGUAGES)
     counted = rows.select("_lang", F.explode(words_of(F.lower("_text"))).alias("w")).groupBy("_lang", "w").agg(
         F.count(F.lit(1)).alias("k")
     )
@@ -130,16 +131,35 @@ def references(documents: DataFrame) -> DataFrame:
     rest = F.coalesce("total", F.lit(0)) - F.aggregate(known, F.lit(0).cast("long"), lambda a, x: a + x)
     shared = joined.select(
         "_lang",
+        F.col("n").alias("documents"),
         _shares(F.array(*[F.col(f"c{i}") for i in range(n)]), F.lit(n)).alias("classes"),
         F.transform(top, lambda t: t["w"]).alias("words"),
         _shares(F.concat(known, F.array(rest)), F.size(top) + 1).alias("shares"),
     )
     none = F.concat(F.array_repeat(F.lit(0).cast("long"), F.size("words")), F.array(F.lit(1).cast("long")))
     limit = F.least(PART_OF_NONE * distance(none, F.col("shares")), F.lit(MOST_COMMON))
-    entry = F.struct(
-        F.col("_lang").alias("key"), F.struct("classes", "words", "shares", limit.alias("limit")).alias("value")
-    )
-    return shared.agg(F.map_from_entries(F.collect_list(entry)).alias("references"))
+    return shared.withColumn("limit", limit)
+
+
+def _with_reference(documents: DataFrame) -> DataFrame:
+    """Documents with the reference of their language in ``_usual``.
+
+    The ``LANGUAGES`` languages with most documents are found in a map at every task, so that their
+    documents are not shuffled. Each other language has a small part of the documents at most; those
+    are joined to the references by language.
+    """
+    usual = stored(references(documents), "language-references")
+    fields = ["classes", "words", "shares", "limit"]
+    entry = F.struct(F.col("_lang").alias("key"), F.struct(*fields).alias("value"))
+    most = usual.orderBy(F.desc("documents"), "_lang").limit(LANGUAGES)
+    known = most.agg(F.map_from_entries(F.collect_list(entry)).alias("known")).scalar()
+    lang = F.coalesce("lang", F.lit(""))
+    if usual.count() <= LANGUAGES:
+        return _measured(documents, ["doc_id"]).withColumn("_usual", F.element_at(known, F.col("_lang")))
+    often = _measured(documents.where(F.map_contains_key(known, lang)), ["doc_id"])
+    seldom = _measured(documents.where(~F.map_contains_key(known, lang)), ["doc_id"])
+    joined = seldom.join(usual.select("_lang", F.struct(*fields).alias("_usual")), "_lang").select(*seldom.columns, "_usual")
+    return often.withColumn("_usual", F.element_at(known, F.col("_lang"))).unionByName(joined)
 
 
 def rule_values(documents: DataFrame) -> DataFrame:
@@ -149,8 +169,7 @@ def rule_values(documents: DataFrame) -> DataFrame:
     Null texts have no words, null languages are one language. Repeated rows, ids and null ids are
     rows of their own. An empty table gives no rows.
     """
-    reference = references(documents).scalar()
-    rows = _measured(documents, ["doc_id"])
+    rows = _with_reference(documents)
     cut = rows.withColumn("_words", words_of(F.col("_text")))
     n = F.size("_words")
     windows = F.transform(
@@ -158,7 +177,7 @@ def rule_values(documents: DataFrame) -> DataFrame:
         lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)),
     )
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-    usual = F.element_at(reference, F.col("_lang"))
+    usual = F.col("_usual")
     counted = cut.select(
         "doc_id",
         n.cast("long").alias("n_words"),
