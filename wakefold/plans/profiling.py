@@ -132,15 +132,15 @@ _BINS = 10
 _HIST_FEATURES = ["min_speed", "cog_ratio", "max_heading"]
 
 
-def _hist_sql(c: str) -> str:
+def _hist_sql(c: str, bins: int = _BINS, table: str = "model") -> str:
     return f"""
       SELECT '{c}' AS feature, b.bin - 1 AS bin, round(b.l, 6) AS left_edge, round(b.r, 6) AS right_edge,
-             (SELECT count(*) FROM model WHERE split = 'train' AND {c} >= b.l AND ({c} < b.r OR (b.bin = b.n AND {c} <= b.r))) AS train_rows,
-             (SELECT count(*) FROM model WHERE split = 'test' AND {c} >= b.l AND ({c} < b.r OR (b.bin = b.n AND {c} <= b.r))) AS test_rows
+             (SELECT count(*) FROM {table} WHERE split = 'train' AND {c} >= b.l AND ({c} < b.r OR (b.bin = b.n AND {c} <= b.r))) AS train_rows,
+             (SELECT count(*) FROM {table} WHERE split = 'test' AND {c} >= b.l AND ({c} < b.r OR (b.bin = b.n AND {c} <= b.r))) AS test_rows
       FROM (SELECT row_number() OVER (ORDER BY e) AS bin, e AS l, lead(e) OVER (ORDER BY e) AS r,
                    count(*) OVER () - 1 AS n
-            FROM (SELECT DISTINCT unnest(quantile_disc({c}, [{', '.join(str(i / _BINS) for i in range(_BINS + 1))}])) AS e
-                  FROM model WHERE split = 'train')) b WHERE b.r IS NOT NULL"""
+            FROM (SELECT DISTINCT unnest(quantile_disc({c}, [{', '.join(str(i / bins) for i in range(bins + 1))}])) AS e
+                  FROM {table} WHERE split = 'train')) b WHERE b.r IS NOT NULL"""
 
 
 @topic.query(
@@ -151,6 +151,24 @@ def quantile_histogram(t: Tables) -> DataFrame:
     return bins.withColumns({c: F.round(c, 6) for c in ("left_edge", "right_edge")})
 
 
+_ALL_BINS = 30
+
+
+# Nine decimals, so that equal values stay equal whatever the order of their sums.
+_ROUNDED_SQL = f", rounded AS (SELECT split, {', '.join(f'round({c}, 9) + 0e0 AS {c}' for c in FEATURES)} FROM model) "
+
+
+@topic.query(
+    "quantile_histogram_all",
+    MODEL_SQL.rstrip() + _ROUNDED_SQL + " UNION ALL ".join(_hist_sql(c, _ALL_BINS, "rounded") for c in FEATURES),
+)
+def quantile_histogram_all(t: Tables) -> DataFrame:
+    """All features at the full number of bins."""
+    rounded = labelled_features(t).select("split", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in FEATURES])
+    bins = profiling.quantile_histogram(rounded, FEATURES, _ALL_BINS)
+    return bins.withColumns({c: F.round(c, 6) for c in ("left_edge", "right_edge")})
+
+
 # A fixed rule stands in for a classifier, so that both sides can compute it.
 _RULE_SQL = """, ruled AS (SELECT behavior_type_label AS label,
     CASE WHEN average_speed < 3 THEN 'STOPPING' WHEN average_speed > 6 THEN 'NORMAL'

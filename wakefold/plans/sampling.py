@@ -132,3 +132,53 @@ def standard_scale(t: Tables) -> DataFrame:
     table = labelled_features(t).select("row_key", "split", *_SCALED)
     scaled = cleaning.standard_scale(table, _SCALED)
     return scaled.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in _SCALED})
+
+
+# The same operators on all features; every feature is spoilt in three of eleven rows by size.
+_SPOILT_ALL_SQL = ", ".join(
+    f"CASE WHEN (n_points + {i}) % 11 < 3 THEN NULL ELSE round({c}, 6) + 0e0 END AS {c}" for i, c in enumerate(FEATURES)
+)
+
+
+def _spoilt_all(t: Tables) -> DataFrame:
+    def spoilt(i: int, c: str):
+        turn = (F.col("n_points") + i) % 11
+        bad = F.when(turn == 0, F.lit(float("nan"))).when(turn == 1, F.lit(float("-inf"))).when(turn == 2, F.lit(None))
+        return bad.otherwise(F.round(c, 6) + F.lit(0.0)).alias(c)
+
+    return labelled_features(t).select("row_key", LABEL, "split", *[spoilt(i, c) for i, c in enumerate(FEATURES)])
+
+
+@topic.query(
+    "clean_nonfinite_all", MODEL_SQL + f"SELECT row_key, behavior_type_label, split, {_SPOILT_ALL_SQL} FROM model"
+)
+def clean_nonfinite_all(t: Tables) -> DataFrame:
+    return cleaning.clean_nonfinite(_spoilt_all(t), FEATURES)
+
+
+@topic.query(
+    "impute_median_all",
+    MODEL_SQL.rstrip()
+    + f""", cleaned AS (SELECT row_key, behavior_type_label, split, {_SPOILT_ALL_SQL} FROM model),
+         mid AS (SELECT {", ".join(f"quantile_disc({c}, 0.5) AS mid_{c}" for c in FEATURES)}
+                 FROM cleaned WHERE split = 'train')
+         SELECT row_key, behavior_type_label, split, {", ".join(f"coalesce({c}, mid_{c}) AS {c}" for c in FEATURES)}
+         FROM cleaned, mid""",
+)
+def impute_median_all(t: Tables) -> DataFrame:
+    return cleaning.impute(cleaning.clean_nonfinite(_spoilt_all(t), FEATURES), FEATURES, "median")
+
+
+@topic.query(
+    "standard_scale_all",
+    MODEL_SQL.rstrip()
+    + f""", m AS (SELECT {", ".join(f"avg({c}) AS mean_{c}, stddev_samp({c}) AS std_{c}" for c in FEATURES)}
+                FROM model WHERE split = 'train')
+         SELECT row_key, split, {", ".join(
+             f"CASE WHEN std_{c} > 0 THEN round(({c} - mean_{c}) / std_{c}, 6) + 0e0 ELSE 0e0 END AS {c}" for c in FEATURES)}
+         FROM model, m""",
+)
+def standard_scale_all(t: Tables) -> DataFrame:
+    table = labelled_features(t).select("row_key", "split", *FEATURES)
+    scaled = cleaning.standard_scale(table, FEATURES)
+    return scaled.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in FEATURES})
