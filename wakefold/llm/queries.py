@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from wakefold.llm import (
     chat,
     decontaminate,
+    lexical,
     near_dedup,
     packing,
+    personal_data,
     quality_model,
     quality_rules,
     sharding,
+    source_audit,
     suffix_dedup,
     token_store,
     url_filter,
@@ -69,6 +72,18 @@ def op10_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.rule_values(_table(spark, folder, "documents")).drop("class_distance", "common_distance")
 
 
+def op11_source_skyband(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.audited(_table(spark, folder, "documents"))
+
+
+def op12_skip_chain_privacy(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.span_digests(personal_data.found_spans(_table(spark, folder, "documents")))
+
+
+def op13_shared_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,7 +97,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_windows,
         op9_string_tiling,
         op10_divergence_rules,
+        op11_source_skyband,
+        op12_skip_chain_privacy,
+        op13_shared_ranking,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.JUDGED_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": url_filter.JUDGED_SQL,
+    "op11_source_skyband": source_audit.AUDIT_SQL,
+    "op13_shared_ranking": lexical.RANKED_SQL,
+}
