@@ -8,7 +8,8 @@ has a hidden node of its own, tied to all its tokens, so that a group of any siz
 edges as it has tokens. Loopy message passing carries a label to all mentions of an entity in the document.
 
 Weights are learned by pseudo-likelihood from the patterns' own labels on at most ``sample`` tokens
-(those of least hash), around a prior that knows cue words and check digits. Labels of pattern
+(those of least hash), around a prior that knows cue words, check digits and agreement. A token that
+the patterns left but a mate or a cue speaks for is no example of a token without label. Labels of pattern
 matches stay fixed. A token gets a label of its own only above ``threshold``, and where it either
 shares a long group with a pattern match or has the digits or the form that the kind needs.
 """
@@ -32,6 +33,8 @@ from wakefold.llm.terms import text_bytes
 SAMPLE = 20_000
 THRESHOLD = 0.8
 ROUNDS = 12
+#: Expected, and greatest, agreement inside long and short groups.
+BONDS = (8.0, 0.5)
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = 1, 2, 3, 4
 _LABELS = 1 + len(KINDS)
@@ -138,6 +141,9 @@ def _fit(core: bytes, digits: bytes, kind: int) -> bool:
     return plain and (12 <= len(digits) <= 19 and _luhn(digits) if kind == CARD else 9 <= len(digits) <= 15)
 
 
+_TELLING = {_place("hidden at"), *(_place(f"cue {kind} True") for kind in (EMAIL, CARD, PHONE))}
+
+
 def _prior() -> np.ndarray:
     """Expected weights: no label unless shown otherwise, failed checks against a kind, cues for it."""
     weights = np.zeros((_INPUTS, _LABELS), np.float64)
@@ -209,15 +215,20 @@ class Graph:
                 at = low.find(handle, end)
         return sorted(found)
 
+    def settled(self) -> np.ndarray:
+        """Tokens whose label can teach: an unmatched one that a match or a cue speaks for may be missed data."""
+        open_ = {i for long, nodes in self.groups if long and any(self.label[j] for j in nodes) for i in nodes}
+        return np.array([bool(y) or (i not in open_ and not _TELLING & set(t)) for i, (y, t) in enumerate(zip(self.label, self.traits, strict=True))], bool)
+
     def mates(self) -> np.ndarray:
-        """Per node the most common label of its other long and other short group members; -1: none."""
-        votes = np.zeros((len(self.spans), 2, _LABELS))
+        """Per node the most common label of its other settled long and short group members; -1: none."""
+        votes, settled = np.zeros((len(self.spans), 2, _LABELS)), self.settled()
         for long, nodes in self.groups:
-            labels = np.array([self.label[i] for i in nodes])
-            total = np.bincount(labels, minlength=_LABELS)
-            for i, own in zip(nodes, labels, strict=True):
+            sure = [i for i in nodes if settled[i]]
+            total = np.bincount([self.label[i] for i in sure], minlength=_LABELS)
+            for i in sure:
                 votes[i, 0 if long else 1] += total
-                votes[i, 0 if long else 1, own] -= 1
+                votes[i, 0 if long else 1, self.label[i]] -= 1
         return np.where(votes.sum(2) > 0, votes.argmax(2), -1)
 
 
@@ -238,7 +249,7 @@ class Field:
     def beliefs(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
         """Marginals of each node by loopy sum-product, all messages of a round at once, damped by half."""
         unary = self.unary(graph.traits)
-        fixed = np.array(graph.label)
+        fixed = np.array(graph.label, np.int64)
         known = np.flatnonzero(fixed)
         unary[known] = -30.0
         unary[known, fixed[known]] = 0.0
@@ -298,8 +309,8 @@ def trained(rows: list[tuple], passes: int = 150, rate: float = 0.3, pull: float
     Rows are (inputs, label, label before, label after, label of long mates, of short mates), -1 where
     there is none. Full batches, adaptive gradients, and a pull to the prior.
     """
-    prior = _prior()
-    field = Field(prior.copy(), np.zeros((_LABELS, _LABELS)), np.array([2.0, 0.5]))
+    prior, bonds = _prior(), np.array(BONDS)
+    field = Field(prior.copy(), np.zeros((_LABELS, _LABELS)), bonds.copy())
     if not rows:
         field.chain = np.eye(_LABELS)
         return field
@@ -327,11 +338,11 @@ def trained(rows: list[tuple], passes: int = 150, rate: float = 0.3, pull: float
         for k, mates in enumerate((long, short)):
             some = mates >= 0
             grads[2][k] = slope[some, mates[some]].sum() / n
-        for value, start, grad, total in zip((field.weights, field.chain, field.agree), (prior, 0.0, 0.0), grads, seen, strict=True):
+        for value, start, grad, total in zip((field.weights, field.chain, field.agree), (prior, 0.0, bonds), grads, seen, strict=True):
             grad = grad + pull * (value - start)
             total += grad**2
             value -= rate * grad / np.sqrt(total)
-        field.agree = np.clip(field.agree, 0.0, 6.0)
+        field.agree = np.clip(field.agree, 0.0, bonds)
     return field
 
 
@@ -356,7 +367,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before[b], after[a] = graph.label[a], graph.label[b]
         mates = graph.mates()
         order = [crc32(b"%d %d" % (seed, i)) for i in range(n)]
-        yield pa.record_batch(
+        rows = pa.record_batch(
             {
                 "at": pa.array(order, pa.int64()),
                 "inputs": pa.array(graph.traits, pa.list_(pa.int32())),
@@ -366,6 +377,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 },
             }
         )
+        yield rows.filter(pa.array(graph.settled()))
 
 
 def fitted(documents: DataFrame, sample: int = SAMPLE) -> Field:
@@ -451,7 +463,8 @@ def span_digests(found: DataFrame) -> DataFrame:
         return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     added = (F.size("spans") - F.size(base)).cast("long").alias("n_added")
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), added)
 
