@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm.small import documents, prose
 
-from wakefold.llm.near_dedup import near_duplicates
+from wakefold.llm import near_dedup
+from wakefold.llm.near_dedup import near_duplicates, without_near_copies
 from wakefold.llm.suffix_dedup import common_prefix, deep_shallow_sort, removed_bytes, without_repeats
 
 
@@ -104,3 +105,47 @@ def test_large_bucket_is_one_component(spark, n):
     base = prose(7, 120).split()
     rows = [(k, " ".join([*base, f"end{k}"])) for k in range(n)]
     assert {r.component_id for r in near_duplicates(documents(spark, rows)).collect()} == {0}
+
+
+def test_large_group_of_copies_against_brute_force(spark, monkeypatch):
+    """400 copies of one text, 0.8 to 0.9 alike with it, less with each other; the text itself is the last."""
+    chance = random.Random(9)
+    base = prose(11, 260).split()
+
+    def copy(changes):
+        words = list(base)
+        for k in chance.sample(range(0, 260, 5), changes):
+            words[k] = f"c{chance.randint(0, 10**6)}"
+        return " ".join(words)
+
+    rows = [(k, copy(chance.randint(3, 7))) for k in range(400)] + [(1000, " ".join(base))]
+    rows += [(2000 + k, copy(12)) for k in range(60)] + [(3000 + k, prose(300 + k, 60)) for k in range(30)]
+    want = _near(rows)
+    sizes = Counter(c for _, c in want.values())
+    assert max(sizes.values()) >= 400 and len(sizes) > 30
+    for block in (1000, 50):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(documents(spark, rows), words=4).collect()}
+        assert got == want
+
+
+def test_cells_give_at_most_one_link_a_member():
+    import numpy as np
+
+    chance = np.random.default_rng(2)
+    for n in (1, 2, 50):
+        sets = [np.unique(chance.integers(0, 300, 200).astype(np.uint64)) for _ in range(n)]
+        both = near_dedup._common(sets)
+        assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(n) for j in range(n) if i != j)
+        assert len(near_dedup._joined(np.ones((n, n), bool), np.arange(n))) == n - 1
+        assert near_dedup._joined(np.ones((n, n), bool), np.zeros(n, int)) == []
+
+
+def test_rows_that_share_an_id_are_not_copies(spark):
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    rows = [(1, a), (1, b), (1, b), (2, b + " end"), (3, c), (4, c.upper()), (None, c), (None, c), (5, ""), (5, None), (6, a)]
+    got = without_near_copies(documents(spark, rows))
+    assert got.columns == documents(spark, []).columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert kept == Counter([(1, a), (1, b), (3, c), (None, c), (None, c), (5, ""), (5, None)])
+    assert without_near_copies(documents(spark, [])).count() == 0

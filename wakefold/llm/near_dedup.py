@@ -3,14 +3,17 @@
 A document's set is its distinct w-word shingles. Its signature has ``5 * chunks`` components of
 16 bits, each the tail of a minimum under another hash. By the pigeonhole principle two signatures
 that differ in at most ``2 * chunks - 1`` components differ in at most one component of some chunk
-of five. Each chunk is therefore indexed five times, once without each component: every such pair
-meets in a bucket. Pairs that meet are compared up to a distance of ``2 * chunks + 2``. With 12 chunks a
-pair at similarity 0.8 is missed with probability about 1e-5, at 0.85 about 3e-8.
-
-Buckets of any size are used whole. Each document is first checked against the bucket centre it
-meets most often; after that only buckets which still hold several components are searched, by
-signature distance, for further links, until no bucket has an unchecked pair of different
-components. Links count only when confirmed on the full sets.
+of five. Each chunk is therefore indexed five times, once without each component: every pair up to
+that distance, which is also the limit for candidates, meets in a bucket. With 17 chunks a pair at
+similarity 0.8 lies beyond it with probability about 1e-5.
+
+Buckets of any size are used whole, in two steps without rounds. First each set goes to the bucket
+centre it meets most often; a centre is the member that meets most others, which in a group of
+copies is the text they were made from. Sets of one centre are compared in cells of bounded size.
+Then only buckets that still hold several components are searched: members with a partner of another
+component within the limit form groups, equal groups of different buckets become one, and each group
+is compared. All comparisons count the common shingles of full sets inside the task, so that a cell
+gives at most one link for each of its members and pairs are never rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakefold.llm.components import components
@@ -28,8 +31,9 @@ from wakefold.llm.store import in_tasks, stored
 from wakefold.llm.textcore import U64, grouped, mix, shingle_sets, slices
 
 CHUNK = 5
-BLOCK = 2000
-PARTNERS = 64
+BLOCK = 1000
+BLOCK_SHINGLES = 500_000
+_COLUMNS = 2048
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -51,18 +55,19 @@ def _signer(words: int, chunks: int):
                 for k in range(size if len(full) else 0):
                     least = np.minimum.reduceat(hashes * seeds[k], bounds[full])
                     values[full, k] = (mix(least) >> U64(48)).astype(np.uint16)
-                keys = [
-                    blake2b(hashes[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest()
+                nodes = [
+                    int.from_bytes(blake2b(hashes[bounds[i] : bounds[i + 1]].tobytes(), digest_size=8).digest(), "little", signed=True)
                     for i in range(len(piece))
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(piece.first, len(piece)),
+                        batch.column(2).slice(piece.first, len(piece)),
                         pa.array(sizes, pa.int64()),
-                        pa.array(keys, pa.binary()),
+                        pa.array(nodes, pa.int64()),
                         pa.array([v.tobytes() for v in values], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "signature"],
+                    names=["doc_id", "text_key", "n_shingles", "node", "signature"],
                 )
 
     return run
@@ -96,214 +101,236 @@ def _indexer(chunks: int):
                         pa.array(keys.ravel().view(np.int64)),
                         pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), size)),
                     ],
-                    names=["key", "rep"],
+                    names=["key", "node"],
                 )
 
     return run
 
 
-def _confirmer(words: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                sides = [_sets(part.column(i), part.column(i + 2), words) for i in (0, 1)]
-                linked = []
-                for left, right in zip(*sides, strict=True):
-                    both = len(np.intersect1d(left, right, assume_unique=True))
-                    linked.append(both > 0 and 100 * both >= percent * (len(left) + len(right) - both))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"]
-                )
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of different sets, as products of 0/1 matrices of bounded width."""
+    n = len(sets)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+    column = np.cumsum(first) - 1
+    shared = np.bincount(column)[column] > 1 if len(flat) else first
+    owner, column = owner[shared], column[shared]
+    column = np.unique(column, return_inverse=True)[1]
+    both = np.zeros((n, n), np.float64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [low, low + _COLUMNS])
+        held = np.zeros((n, min(_COLUMNS, int(column[-1]) + 1 - low)), np.float32)
+        held[owner[a:b], column[a:b] - low] = 1
+        both += held @ held.T
+    return both
+
+
+def _joined(near: np.ndarray, comps: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of ``near`` that join the components, one for each joining."""
+    _, group = np.unique(comps, return_inverse=True)
+    group, links = group.copy(), []
+    for i in range(len(near)):
+        for g in np.unique(group[near[i] & (group != group[i])]):
+            j = int(np.flatnonzero(near[i] & (group == g))[0])
+            links.append((i, j))
+            group[group == g] = group[i]
+    return links
 
-    return run
 
+def _linker(words: int, percent: int):
+    """Links between members of a cell of different components, confirmed on full sets."""
 
-def _sets(ids: pa.Array, texts: pa.Array, words: int) -> list[np.ndarray]:
-    """The set of each row; rows of one document share the work."""
-    _, first, index = np.unique(ids.to_numpy(), return_index=True, return_inverse=True)
-    found = []
-    for piece in slices(texts.take(pa.array(first))):
-        hashes, bounds = shingle_sets(piece, words)
-        found.extend(hashes[bounds[i] : bounds[i + 1]] for i in range(len(piece)))
-    return [found[i] for i in index]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple[int, int]] = []
+        for _, rows in grouped(batches):
+            nodes, comps = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+            sets = []
+            for piece in slices(pa.array([r[3] for r in rows], pa.string())):
+                hashes, bounds = shingle_sets(piece, words)
+                sets.extend(hashes[bounds[i] : bounds[i + 1]] for i in range(len(piece)))
+            both, sizes = _common(sets), np.array([len(x) for x in sets])
+            near = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes - both))
+            links += [(int(nodes[i]), int(nodes[j])) for i, j in _joined(near, comps)]
+            if len(links) > 100_000:
+                yield _pair_batch(links)
+                links = []
+        if links:
+            yield _pair_batch(links)
 
+    return run
 
-def _near_pairs(
-    reps: list[int], comps: list[int], values: np.ndarray, sizes: np.ndarray, rejected: list, tie: int, limit: int, percent: int
-) -> set[tuple[int, int]]:
-    """Pairs of a cell to check: between different components, within the signature distance.
 
-    Members within the distance ``tie`` are taken as linked, so one pair per tie is enough. For what
-    stays apart, each member gives its nearest unchecked partners in every other component; the
-    remaining ones come in later rounds, in which nothing is taken as linked.
+def _grouper(chunks: int, percent: int):
+    """Groups of a cell's members that reach each other over pairs to compare.
+
+    Such a pair is of different components, of fitting set sizes and within the signature distance.
+    A group is named by its members, so the same group from another bucket has the same name.
     """
-    _, group = np.unique(comps, return_inverse=True)
-    group = group.copy()
-    close = []
-    for i in range(len(reps) - 1):
-        others = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-        low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-        others = others[100 * low >= percent * high]
-        distance = (values[others] != values[i]).sum(axis=1)
-        near = distance <= limit
-        pairs = sorted((int(d), i, int(j)) for d, j in zip(distance[near], others[near], strict=True))
-        for d, _, j in pairs:
-            if d > tie:
-                close.append((d, i, j))
-            elif group[j] != group[i] and not refused(reps, rejected, i, j):
-                group[group == group[j]] = group[i]
-                close.append((-1, i, j))
-    found, given = set(), {}
-    for d, i, j in sorted(close):
-        if d >= 0 and (group[i] == group[j] or refused(reps, rejected, i, j)):
-            continue
-        used = given.get((i, group[j]), 0)
-        if d < 0 or used < PARTNERS:
-            given[i, group[j]] = used + 1
-            found.add((min(reps[i], reps[j]), max(reps[i], reps[j])))
-    return found
-
-
-def refused(reps: list[int], rejected: list, i: int, j: int) -> bool:
-    return rejected[i] is not None and reps[j] in rejected[i]
-
-
-def _searcher(chunks: int, percent: int, first: bool):
-    size = CHUNK * chunks
-    tie, limit = (chunks - 2 if first else -1), 2 * chunks + 2
+    size, limit = CHUNK * chunks, 2 * chunks - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int, int]] = set()
+        out: set[tuple[int, int]] = set()
         for _, rows in grouped(batches):
-            rows.sort(key=lambda r: r[1])
-            pairs = _near_pairs(
-                [r[1] for r in rows],
-                [r[2] for r in rows],
-                np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, size),
-                np.array([r[3] for r in rows], np.int64),
-                [r[5] and set(r[5]) for r in rows],
-                tie,
-                limit,
-                percent,
-            )
-            found |= {(rows[0][6], a, b) for a, b in pairs}
-            if len(found) > 100_000:
-                yield _pair_batch(found)
-                found = set()
-        if found:
-            yield _pair_batch(found)
+            nodes, comps, sizes = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+            values = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, size)
+            label = np.arange(len(rows))
+            for i in range(len(rows) - 1):
+                low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
+                others = np.flatnonzero((comps[i + 1 :] != comps[i]) & (100 * low >= percent * high)) + i + 1
+                met = label[others[(values[others] != values[i]).sum(axis=1) <= limit]]
+                if len(met):
+                    met = np.unique(np.append(met, label[i]))
+                    label[np.isin(label, met)] = met[0]
+            order = np.lexsort((nodes, label))
+            for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+                if len(part) > 1:
+                    name = blake2b(nodes[part].tobytes(), digest_size=8).digest()
+                    out |= {(int.from_bytes(name, "little", signed=True), int(x)) for x in nodes[part]}
+            if len(out) > 200_000:
+                yield _pair_batch(out)
+                out = set()
+        if out:
+            yield _pair_batch(out)
 
     return run
 
 
-def _pair_batch(pairs: set[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["key", "a", "b"]
-    )
+def _pair_batch(pairs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
 
 
-def _placed(buckets: DataFrame, linked: DataFrame) -> DataFrame:
-    """Every bucket entry with the component its document has so far."""
-    found = linked.withColumnRenamed("node", "rep")
-    return buckets.join(found, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+def _blocks(n: Column, shingles: Column) -> Column:
+    """Number of blocks of bounded size for so many members and shingles."""
+    return (1 + F.greatest(F.floor(n / BLOCK), F.floor(shingles / BLOCK_SHINGLES))).cast("int")
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, chunks: int = 12) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept.
+def _block_of(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
 
-    Null and wordless texts have n_shingles 0 and no link. Equal sets are one class, whatever the
-    number of copies. A row without doc_id is linked with nothing: component_id is null and kept
-    true. Rows that repeat a doc_id are rows of their own. Other columns are not read.
+
+def _each(first: int | Column, blocks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(first), blocks - 1))
+
+
+def _centred(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """cell, node: each set with the centre it meets most often, in cells of bounded size."""
+    reach = buckets.groupBy("node").agg(F.sum("n").alias("reach"))
+    top = F.max(F.struct("reach", F.negative("node").alias("back"), "node"))
+    centres = buckets.join(reach, "node").groupBy("key").agg(top["node"].alias("centre"))
+    met = buckets.join(centres, "key").where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("times"))
+    own = met.groupBy("node").agg(F.max(F.struct("times", "centre"))["centre"].alias("centre"))
+    dealt = own.join(classes.select("node", "n_shingles"), "node")
+    sizes = dealt.groupBy("centre").agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"))
+    members = dealt.join(sizes, "centre").select(F.xxhash64("centre", _block_of("blocks")).alias("cell"), "node")
+    centre = sizes.withColumn("block", _each(0, F.col("blocks"))).select(F.xxhash64("centre", "block").alias("cell"), F.col("centre").alias("node"))
+    return members.union(centre)
+
+
+def _open_cells(placed: DataFrame) -> DataFrame:
+    """cell, node: members of buckets that hold several components, in cells of bounded size.
+
+    The largest component of a bucket needs no comparison inside itself: its blocks meet the blocks of
+    all other members, and those meet each other.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(
-        in_tasks(texts, _signer(words, chunks), "doc_id long, n_shingles long, set_key binary, signature binary"),
-        "signatures",
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    whole = parts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("components"),
+        F.max(F.struct("n", "component", "shingles")).alias("main"),
+        F.sum("n").alias("n"),
+        F.sum("shingles").alias("shingles"),
     )
-    classes = stored(
-        signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy("set_key")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("one"))
-        .select("set_key", F.col("one.doc_id").alias("rep"), "one.n_shingles", "one.signature"),
-        "classes",
+    open_ = whole.where("components > 1").select(
+        "key",
+        F.col("main.component").alias("main"),
+        _blocks(F.col("main.n"), F.col("main.shingles")).alias("mains"),
+        _blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("others"),
     )
-    keys = in_tasks(classes.select("rep", "signature"), _indexer(chunks), "key long, rep long")
-    met = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("_last")).where("centre < _last")
-    buckets = stored(keys.join(met.select("key", "centre"), "key"), "buckets")
-
-    candidates = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    chosen = classes.select("set_key", F.col("rep").alias("doc_id"))
-    known = stored(
-        texts.join(candidates, "doc_id").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates"
+    rows = placed.join(open_, "key")
+    main, other = rows.where("component = main"), rows.where("component <> main")
+    here, there = _block_of("mains"), _block_of("others")
+    crossed = main.withColumn("other", _each(0, F.col("others"))).select(F.xxhash64("key", here, "other").alias("cell"), "node")
+    crossing = other.withColumn("block", _each(0, F.col("mains"))).select(F.xxhash64("key", "block", there).alias("cell"), "node")
+    apart = other.where("others > 1").withColumn("own", there).withColumn("other", _each(0, F.col("others")))
+    among = apart.where("own <> other").select(
+        F.xxhash64("key", F.lit(-1), F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node"
     )
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left = known.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        right = known.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        rows = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-        checked = in_tasks(rows, _confirmer(words, percent), "a long, b long, linked boolean")
-        return stored(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")), "checked")
-
-    counts = buckets.where("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("n"))
-    stars = counts.groupBy("rep").agg(F.max(F.struct("n", F.negative("centre").alias("c"))).alias("top"))
-    pairs = stored(stars.select(F.negative("top.c").alias("a"), F.col("rep").alias("b")), "pairs")
-    checked = confirm(pairs)
-    linked = placed = active = None
-    fresh = True
-    while True:
-        if fresh:
-            linked = stored(components(checked.where("linked")), "components")
-            placed = stored(_placed(buckets, linked), "placed")
-        searched = placed if active is None else placed.join(active, "key", "left_semi")
-        mixed = searched.groupBy("key").agg(
-            F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("n")
-        )
-        open_keys = mixed.where("_low < _high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        refused = checked.where("NOT linked")
-        partners = (
-            refused.select(F.col("a").alias("rep"), F.col("b").alias("o"))
-            .union(refused.select(F.col("b").alias("rep"), F.col("a").alias("o")))
-            .groupBy("rep")
-            .agg(F.collect_set("o").alias("rejected"))
-        )
-        # A large bucket is dealt to blocks and every two blocks form a cell of their own.
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        cells = (
-            searched.join(open_keys, "key")
-            .withColumn("_own", own)
-            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select(
-                F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("cell"), "rep", "comp", "key"
-            )
-            .join(classes.select("rep", "n_shingles", "signature"), "rep")
-            .join(partners, "rep", "left")
-            .select("cell", "rep", "comp", "n_shingles", "signature", "rejected", "key")
-        )
-        found = stored(
-            in_tasks(
-                cells.repartition("cell").sortWithinPartitions("cell"),
-                _searcher(chunks, percent, active is None),
-                "key long, a long, b long",
-            ),
-            "found",
-        )
-        if found.isEmpty():
-            break
-        pairs = found.select("a", "b").distinct()
-        # Refusals and ties only take pairs away, so a bucket that gave none has none to come.
-        active = found.select("key").distinct()
-        answers = confirm(pairs)
-        fresh = not answers.where("linked").isEmpty()
-        checked = stored(checked.union(answers), "checked")
-    members = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("_component")
+    return crossed.union(crossing).union(among)
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _with_components(documents: DataFrame, words: int, percent: int, chunks: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and node, first doc_id and component of each distinct set."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key().alias("text_key"))
+    schema = "doc_id long, text_key long, n_shingles long, node long, signature binary"
+    signed = stored(in_tasks(texts.select("doc_id", "text", "text_key"), _signer(words, chunks), schema), "signatures")
+    one = F.min(F.struct("doc_id", "text_key", "n_shingles", "signature")).alias("one")
+    linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = stored(linkable.groupBy("node").agg(one).select("node", "one.*"), "classes")
+    keys = in_tasks(classes.select("node", "signature"), _indexer(chunks), "key long, node long")
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = stored(keys.join(met, "key"), "buckets")
+    candidates = classes.join(buckets.select("node").distinct(), "node").select("doc_id", "text_key", "node")
+    known = stored(texts.join(candidates, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "candidates")
+
+    def links(cells: DataFrame) -> DataFrame:
+        """``cells``: cell, node, component."""
+        rows = cells.join(known, "node").select("cell", "node", "component", "text").repartition("cell")
+        found = in_tasks(rows.sortWithinPartitions("cell"), _linker(words, percent), "a long, b long")
+        return stored(found, "links")
+
+    linked = links(_centred(buckets, classes).withColumn("component", F.col("node")))
+    tied = stored(components(linked), "components")
+    component = F.coalesce("component", "node").alias("component")
+    state = stored(
+        classes.join(tied, "node", "left").select("node", component, "n_shingles", "signature"), "placed"
     )
-    linkable = F.col("n_shingles") > 0
-    component = F.when(linkable & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
+    placed = buckets.select("key", "node").join(state.select("node", "component", "n_shingles"), "node")
+    cells = _open_cells(stored(placed, "entries")).join(state, "node").select("cell", "node", "component", "n_shingles", "signature")
+    groups = in_tasks(cells.repartition("cell").sortWithinPartitions("cell"), _grouper(chunks, percent), "cell long, node long")
+    more = links(groups.distinct().join(state.select("node", "component"), "node"))
+    final = stored(components(linked.union(more)), "components")
+    return signed, classes.join(final, "node", "left").select("node", "doc_id", component)
+
+
+def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, chunks: int = 17) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept.
+
+    Null and wordless texts have n_shingles 0 and no link. Equal sets are one class, whatever the
+    number of copies. A row without doc_id is linked with nothing: component_id is null and kept
+    true. Rows that repeat a doc_id are rows of their own. Other columns are not read.
+    """
+    signed, placed = _with_components(documents, words, percent, chunks)
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("_least"))
+    known = placed.select("node", "component").join(least, "component").select("node", "_least")
+    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return (
-        signed.select("doc_id", "n_shingles", "set_key")
-        .join(members, "set_key", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        signed.select("doc_id", "n_shingles", "node")
+        .join(known, "node", "left")
+        .select("doc_id", "n_shingles", F.when(linkable, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def without_near_copies(documents: DataFrame, words: int = 5, percent: int = 80, chunks: int = 17) -> DataFrame:
+    """The documents, all columns, with one row of each group of near copies: the least doc_id, then text hash.
+
+    Rows equal in doc_id and text are copies of each other; rows that share a doc_id only are not. Rows
+    without doc_id or without words are in no group and all stay.
+    """
+    signed, placed = _with_components(documents, words, percent, chunks)
+    rows = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(placed.select("node", "component"), "node")
+    chosen = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
+    times = rows.groupBy("doc_id", "text_key").agg((F.count(F.lit(1)) > 1).alias("_again"))
+    keys = chosen.select("one.*").join(times, ["doc_id", "text_key"]).toDF("_id", "_text", "_again")
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (_text_key() == F.col("_text"))
+    found = documents.where(~alone).join(keys, same)
+    once = found.where("NOT _again").select(documents["*"])
+    again = found.where("_again").select(documents["*"]).dropDuplicates(["doc_id", "text"])
+    return once.union(again).union(documents.where(alone))

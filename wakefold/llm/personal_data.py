@@ -8,7 +8,7 @@ has a hidden node of its own, tied to all its tokens, so that a group of any siz
 edges as it has tokens. Loopy message passing carries a label to all mentions of an entity in the document.
 
 Weights are learned by pseudo-likelihood from the patterns' own labels on at most ``sample`` tokens
-(those of least hash), around a prior that knows cue words, check digits and agreement. A token that
+(those of least hash, from about ``4 * sample`` documents chosen by hash), around a prior that knows cue words, check digits and agreement. A token that
 the patterns left but a mate or a cue speaks for is no example of a token without label. Labels of pattern
 matches stay fixed. A token gets a label of its own only above ``threshold``, and where it either
 shares a long group with a pattern match or has the digits or the form that the kind needs.
@@ -358,10 +358,13 @@ def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met = set()
     for _, _, text, _, graph in _graphs(batches):
-        if graph is None:
+        seed = crc32(text)
+        if graph is None or seed in met:
             continue
-        n, seed = len(graph.spans), crc32(text)
+        met.add(seed)
+        n = len(graph.spans)
         before, after = np.full(n, -1), np.full(n, -1)
         for a, b in graph.chain:
             before[b], after[a] = graph.label[a], graph.label[b]
@@ -381,8 +384,14 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fitted(documents: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field trained on at most ``sample`` tokens, the ones of least hash over all documents."""
-    rows = documents.select(F.lit(0).alias("_"), text_bytes().alias("text"))
+    """A field trained on at most ``sample`` tokens.
+
+    A hash of id and text chooses about ``4 * sample`` documents (all, if there are fewer); the tokens
+    of least hash in them are taken. So what reaches the driver does not grow with the corpus.
+    """
+    share = F.lit(4 * sample) / F.lit(max(1, documents.count()))
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)
+    rows = documents.where(chosen).select(F.lit(0).alias("_"), text_bytes().alias("text"))
     found = in_tasks(rows, _examples, "at long, inputs array<int>, label int, b int, a int, long int, short int")
     return trained([tuple(r)[1:] for r in found.orderBy(*found.columns).limit(sample).collect()])
 
