@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wakefold.llm import decontaminate, near_dedup, packing, quality_model, suffix_dedup
 from wakefold.llm.store import stored
@@ -17,11 +16,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group of near copies; five words, 0.8 or more."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    # Rows that repeat an id are copies of each other in that id's group; rows without id all stay.
-    return one.where("doc_id IS NULL").union(one.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """One row, the one of least id, of each group of near copies; five words, 0.8 or more."""
+    return near_dedup.without_near_copies(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
