@@ -163,3 +163,18 @@ def test_open_ended_arrays_hold_every_later_point(spark):
     for index, vessel, begin in starts:
         later = sorted((r for r in rows if r[0] == vessel and r[1] >= begin), key=lambda r: (r[1], r[6]))
         assert got.get(index, []) == [r[5] for r in later]
+
+
+@pytest.mark.parametrize("segment_ms", [1, 3, 10**9])
+def test_small_deviations_of_large_speeds(spark, segment_ms):
+    rows = [("a", k, 1.0, 2.0, 1000 + k * 1e-5, 300 + k * 1e-5, k) for k in range(10)]
+    points = spark.createDataFrame(rows, POINTS)
+    whole = features.trajectory_features(points, ["id"], segment_ms).first()
+    want = points.select(F.stddev_pop("sog").alias("s"), F.stddev_pop("cog").alias("c")).first()
+    assert whole.std_dev_speed == pytest.approx(want.s, rel=1e-6) and abs(want.s - 2.8723e-5) < 1e-9
+    assert whole.std_dev_heading == pytest.approx(want.c, rel=1e-6)
+    starts = spark.createDataFrame([(1, "a", 0, "X"), (2, "a", 5, "X")], "event_index long, id string, from_ms long, Category string")
+    rest = {r.event_index: r for r in features.open_ended_features(points, starts, segment_ms).collect()}
+    assert rest[1].std_dev_speed == pytest.approx(want.s, rel=1e-6)
+    late = points.where("ts >= 5").select(F.stddev_pop("sog").alias("s")).first().s
+    assert rest[2].std_dev_speed == pytest.approx(late, rel=1e-6)

@@ -10,12 +10,9 @@ from wakefold.operators.segments import SEGMENT_MS, suffix_summaries, track_summ
 from wakefold.schemas import FEATURES
 
 
-def _spread(total: Column, squares: Column, count: Column) -> Column:
-    """Population deviation; a variance below rounding noise counts as zero."""
-    mean_square = squares / count
-    variance = mean_square - (total / count) * (total / count)
-    noise = mean_square * F.lit(1e-13)
-    return F.when(count == 0, F.lit(0.0)).when(variance <= noise, F.lit(0.0)).otherwise(F.sqrt(variance))
+def _spread(squares: Column, count: Column) -> Column:
+    """Population deviation from the sum of squared deviations."""
+    return F.when(count == 0, F.lit(0.0)).otherwise(F.sqrt(squares / count))
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -44,8 +41,8 @@ def feature_columns() -> dict[str, Column]:
         "average_heading": _ratio(F.col("cog_sum"), cog_n),
         "min_heading": F.col("cog_min"),
         "max_heading": F.col("cog_max"),
-        "std_dev_heading": _spread(F.col("cog_sum"), F.col("cog_sq"), F.greatest(cog_n, F.lit(1.0))),
-        "std_dev_speed": _spread(F.col("sog_sum"), F.col("sog_sq"), F.greatest(sog_n, F.lit(1.0))),
+        "std_dev_heading": _spread(F.col("cog_m2"), F.greatest(cog_n, F.lit(1.0))),
+        "std_dev_speed": _spread(F.col("sog_m2"), F.greatest(sog_n, F.lit(1.0))),
         "total_area_time": span,
         "low_speed_percentage": F.lit(100.0) * F.col("slow") / n,
         "stagnation_time": F.col("still") * span / n,

@@ -5,7 +5,9 @@ vessel may own a third of all rows. Every ordered computation here therefore wor
 levels. Rows are grouped by ``(key, time segment)``, each segment is folded to one summary row
 with its first and last point, and only these summaries are ordered per key to add the step
 between the last point of a segment and the first point of the next one. Sums, counts, minima
-and maxima merge exactly, so the result does not depend on the segment width.
+and maxima merge exactly, so the result does not depend on the segment width. Squared deviations
+are kept around each part's own mean; joining two parts adds the distance of their means, so
+nothing large is subtracted and small deviations of large values survive.
 
 Points have the columns ``ts`` (epoch ms), ``lon``, ``lat``, ``sog``, ``cog`` and ``pos_key``
 (unique tie-break).
@@ -27,9 +29,10 @@ STILL_KNOTS = 0.5
 
 ENDS = ["ts", "lon", "lat", "cog"]
 SUMS = [
-    "n", "sog_n", "sog_sum", "sog_sq", "slow", "still",
-    "cog_n", "cog_sum", "cog_sq", "km", "km_gap", "bearing_ms", "turns",
+    "n", "sog_n", "sog_sum", "slow", "still",
+    "cog_n", "cog_sum", "km", "km_gap", "bearing_ms", "turns",
 ]
+MOMENTS = ["sog", "cog"]
 LOWS = ["sog_min", "cog_min"]
 HIGHS = ["sog_max", "cog_max"]
 
@@ -61,12 +64,10 @@ def point_measures(sog: Column, cog: Column) -> dict[str, Column]:
         "n": F.lit(1).cast("long"),
         "sog_n": sog.isNotNull().cast("long"),
         "sog_sum": F.coalesce(sog, zero),
-        "sog_sq": F.coalesce(sog * sog, zero),
         "slow": F.coalesce(sog < SLOW_KNOTS, F.lit(False)).cast("long"),
         "still": F.coalesce(sog < STILL_KNOTS, F.lit(False)).cast("long"),
         "cog_n": cog.isNotNull().cast("long"),
         "cog_sum": F.coalesce(cog, zero),
-        "cog_sq": F.coalesce(cog * cog, zero),
         "sog_min": sog,
         "sog_max": sog,
         "cog_min": cog,
@@ -74,6 +75,28 @@ def point_measures(sog: Column, cog: Column) -> dict[str, Column]:
     }
 
 
+def squared_deviation(value: Column, window=None) -> Column:
+    """Sum of squared deviations from the mean, null values left out; 0 where there is none."""
+    spread, count = F.var_pop(value), F.count(value)
+    if window is not None:
+        spread, count = spread.over(window), count.over(window)
+    return F.coalesce(spread * count, F.lit(0.0))
+
+
+def mean_gap(n1: Column, sum1: Column, n2: Column, sum2: Column) -> Column:
+    """What joining two parts adds to their squared deviations."""
+    apart = F.try_divide(sum1, n1) - F.try_divide(sum2, n2)
+    return F.when((n1 > 0) & (n2 > 0), n1 * F.try_divide(n2, n1 + n2) * apart * apart).otherwise(F.lit(0.0))
+
+
+def _gaps(prefix: str) -> dict[str, Column]:
+    """``mean_gap`` of each moment between a part and the totals whose names have the prefix."""
+    return {
+        f"{m}_m2": mean_gap(*[F.col(c).cast("double") for c in (f"{m}_n", f"{m}_sum", f"{prefix}_{m}_n", f"{prefix}_{m}_sum")])
+        for m in MOMENTS
+    }
+
+
 def step_measures(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
     """What the step from point ``a`` to point ``b`` adds; zeros when there is no step.
 
@@ -106,6 +129,7 @@ def segment_summaries(points: DataFrame, keys: list[str], segment_ms: int = SEGM
         *keys,
         "seg",
         *ENDS,
+        "sog",
         *[col.alias(f"m_{name}") for name, col in point_measures(F.col("sog"), F.col("cog")).items()],
         *[col.alias(f"p_{name}") for name, col in before.items()],
         F.lead("ts").over(order).isNull().alias("is_tail"),
@@ -117,6 +141,7 @@ def segment_summaries(points: DataFrame, keys: list[str], segment_ms: int = SEGM
         *[F.max(F.when(is_head, F.col(c))).alias(f"head_{c}") for c in ENDS],
         *[F.max(F.when(F.col("is_tail"), F.col(c))).alias(f"tail_{c}") for c in ENDS],
         *[F.sum(f"m_{c}").alias(c) for c in SUMS],
+        *[squared_deviation(F.col(c)).alias(f"{c}_m2") for c in MOMENTS],
         *[F.min(f"m_{c}").alias(c) for c in LOWS],
         *[F.max(f"m_{c}").alias(c) for c in HIGHS],
     )
@@ -126,8 +151,11 @@ def track_summaries(points: DataFrame, keys: list[str], segment_ms: int = SEGMEN
     """One summary row per key, stitched from its segments."""
     segments = segment_summaries(points, keys, segment_ms)
     order = Window.partitionBy(*keys).orderBy("seg")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     linked = segments.select(
-        "*", *[F.lag(f"tail_{c}").over(order).alias(f"p_{c}") for c in ENDS]
+        "*",
+        *[F.lag(f"tail_{c}").over(order).alias(f"p_{c}") for c in ENDS],
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"p_{c}") for m in MOMENTS for c in (f"{m}_n", f"{m}_sum")],
     )
     steps = step_measures(_ends("p"), _ends("head"))
     return linked.groupBy(*keys).agg(
@@ -137,6 +165,7 @@ def track_summaries(points: DataFrame, keys: list[str], segment_ms: int = SEGMEN
             F.sum(F.col(c) + steps[c] if c in steps else F.col(c)).alias(c)
             for c in SUMS
         ],
+        *[F.sum(F.col(c) + gap).alias(c) for c, gap in _gaps("p").items()],
         *[F.min(c).alias(c) for c in LOWS],
         *[F.max(c).alias(c) for c in HIGHS],
     )
@@ -177,11 +206,13 @@ def suffix_summaries(
     measured = rows.select(
         "id", "seg", "event_index", *extra, "ts", "pos_key", "is_point",
         point_only.alias("spot"),
+        *[F.when(F.col("is_point"), F.col(c)).alias(c) for c in MOMENTS],
         *[F.when(F.col("is_point"), col).alias(f"m_{name}") for name, col in measures.items()],
     )
     running = measured.select(
         "id", "seg", "event_index", *extra, F.col("ts").alias("from_ms"), "is_point",
         *[F.coalesce(F.sum(f"m_{c}").over(upto), F.lit(0)).alias(c) for c in SUMS],
+        *[squared_deviation(F.col(c), upto).alias(f"{c}_m2") for c in MOMENTS],
         *[F.min(f"m_{c}").over(upto).alias(c) for c in LOWS],
         *[F.max(f"m_{c}").over(upto).alias(c) for c in HIGHS],
         F.last("spot", ignorenulls=True).over(upto).alias("head"),
@@ -190,7 +221,8 @@ def suffix_summaries(
     )
 
     # The last row backwards has seen the whole segment: it is the segment's summary.
-    totals = running.where("is_whole").select("id", "seg", *SUMS, *LOWS, *HIGHS, "head", "tail")
+    m2 = [f"{c}_m2" for c in MOMENTS]
+    totals = running.where("is_whole").select("id", "seg", *SUMS, *m2, *LOWS, *HIGHS, "head", "tail")
     by_time = Window.partitionBy("id").orderBy(F.desc("seg"))
     beyond = by_time.rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("next_head", F.last("head", ignorenulls=True).over(beyond))
@@ -199,10 +231,14 @@ def suffix_summaries(
     )
     full = {c: F.col(c) + stitch[c] if c in stitch else F.col(c) for c in SUMS}
     rest = totals.select("id", "seg", *[col.alias(c) for c, col in full.items()],
-                         *LOWS, *HIGHS, "tail", "next_head")
+                         *m2, *LOWS, *HIGHS, "tail", "next_head")
+    sums_beyond = [f"{c}_{part}" for c in MOMENTS for part in ("n", "sum")]
+    rest = rest.select("*", *[F.coalesce(F.sum(c).over(beyond), F.lit(0)).alias(f"b_{c}") for c in sums_beyond])
+    rest = rest.withColumns({c: F.col(c) + gap for c, gap in _gaps("b").items()})
     rest = rest.select(
         "id", "seg", F.col("next_head"),
         F.first("tail", ignorenulls=True).over(beyond).alias("r_tail"),
+        *[F.coalesce(F.sum(c).over(beyond), F.lit(0.0)).alias(f"r_{c}") for c in m2],
         *[F.coalesce(F.sum(c).over(beyond), F.lit(0)).alias(f"r_{c}") for c in SUMS],
         *[F.min(c).over(beyond).alias(f"r_{c}") for c in LOWS],
         *[F.max(c).over(beyond).alias(f"r_{c}") for c in HIGHS],
@@ -222,6 +258,7 @@ def suffix_summaries(
             (F.col(c) + F.col(f"r_{c}") + (bridge[c] if c in bridge else F.lit(0))).alias(c)
             for c in SUMS
         ],
+        *[(F.col(c) + F.col(f"r_{c}") + gap).alias(c) for c, gap in _gaps("r").items()],
         *[F.least(F.col(c), F.col(f"r_{c}")).alias(c) for c in LOWS],
         *[F.greatest(F.col(c), F.col(f"r_{c}")).alias(c) for c in HIGHS],
     )

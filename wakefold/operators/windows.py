@@ -13,6 +13,7 @@ from wakefold.functions.timefmt import TEXT_FORMAT
 from wakefold.operators.segments import TURN_DEGREES
 
 ORDER = ["ts_s", "event_index", "pos"]
+SPOT = ["ts_s", "lon", "lat", "cog"]
 
 
 def window_range(ts_s: Column, start_s: Column, size_s: int, step_s: int) -> tuple[Column, Column]:
@@ -80,51 +81,35 @@ def window_points(
     return placed.withColumn("rank", F.row_number().over(in_window)).where(F.col("rank") <= max_points)
 
 
-def window_steps(windowed: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds the step to each point from its predecessor in the window.
+def steps_within(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds the step to each point from its predecessor under the same keys.
 
     ``path_km`` and the turn follow the rules of the loitering equations: the path skips points
     without a position.
     """
-    order = Window.partitionBy(*keys, "window_index").orderBy(*ORDER)
+    order = Window.partitionBy(*keys).orderBy(*ORDER)
     located = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.struct("lon", "lat"))
     back = order.rowsBetween(Window.unboundedPreceding, -1)
-    framed = windowed.select(
+    framed = rows.select(
         "*",
-        *[F.lag(c).over(order).alias(f"p_{c}") for c in ("ts_s", "lon", "lat", "cog")],
+        *[F.lag(c).over(order).alias(f"p_{c}") for c in SPOT],
         F.last(located, ignorenulls=True).over(back).alias("p_spot"),
         located.alias("spot"),
     )
-    dt_ms = (F.col("ts_s") - F.col("p_ts_s")) * 1000
-    return framed.select(
-        "*",
-        dt_ms.alias("dt_ms"),
-        haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")).alias("step_km"),
-        (planar_bearing(F.col("lon") - F.col("p_lon"), F.col("lat") - F.col("p_lat")) * dt_ms).alias("bearing_ms"),
-        F.abs(F.col("cog") - F.col("p_cog")).alias("turn"),
-        haversine_km(
-            F.col("p_spot.lat"), F.col("p_spot.lon"), F.col("spot.lat"), F.col("spot.lon")
-        ).alias("path_km"),
-    )
+    before, here = ({c: F.col(f"{p}{c}") for c in SPOT} for p in ("p_", ""))
+    return framed.select("*", *[c.alias(n) for n, c in step_values(before, here, F.col("p_spot"), F.col("spot")).items()])
 
 
-def window_geometry(windowed: DataFrame, keys: list[str]) -> DataFrame:
-    """What the loitering equations need of each window, as scalars."""
-    stepped = window_steps(windowed, keys)
-    is_step = F.col("p_ts_s").isNotNull()
-    return stepped.groupBy(*keys, "window_index", "window_start_s", "window_end_s").agg(
-        F.count(F.lit(1)).alias("n_points"),
-        F.coalesce(F.sum("path_km"), F.lit(0.0)).alias("path_km"),
-        F.when(F.count_if(F.col("sog").isNull()) == 0, F.sum("sog")).alias("sum_sog"),
-        F.when(
-            F.count_if(is_step & F.col("turn").isNull()) == 0, F.coalesce(F.sum("turn"), F.lit(0.0))
-        ).alias("sum_cog_delta"),
-        *[
-            fn(F.when(F.col("spot").isNotNull(), F.col(c))).alias(f"{name}_{c}")
-            for c in ("lon", "lat")
-            for name, fn in (("min", F.min), ("max", F.max))
-        ],
-    )
+def step_values(a: dict[str, Column], b: dict[str, Column], a_spot: Column, b_spot: Column) -> dict[str, Column]:
+    """Measures of the step from point ``a`` to ``b``, and of the path from one located point to another."""
+    dt_ms = (b["ts_s"] - a["ts_s"]) * 1000
+    return {
+        "dt_ms": dt_ms,
+        "step_km": haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]),
+        "bearing_ms": planar_bearing(b["lon"] - a["lon"], b["lat"] - a["lat"]) * dt_ms,
+        "turn": F.abs(b["cog"] - a["cog"]),
+        "path_km": haversine_km(a_spot["lat"], a_spot["lon"], b_spot["lat"], b_spot["lon"]),
+    }
 
 
 def window_features(windowed: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,7 +122,7 @@ def window_features(windowed: DataFrame, keys: list[str]) -> DataFrame:
     added or averaged once per point; ``*_in_window`` columns hold the values of the window
     itself. Deviations are sample deviations. Arrays hold every point of the window.
     """
-    stepped = window_steps(windowed, keys)
+    stepped = steps_within(windowed, [*keys, "window_index"])
     is_step = F.col("p_ts_s").isNotNull()
     spot = F.struct(*ORDER, "lon", "lat", "sog", "cog")
     grouped = stepped.groupBy(*keys, "window_index", "window_start_s", "window_end_s").agg(

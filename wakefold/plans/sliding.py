@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakefold.functions.timefmt import canonical_epoch_seconds
-from wakefold.operators import joins, loitering, tracks, windows
+from wakefold.operators import cells, joins, loitering, tracks, windows
 from wakefold.plans.registry import Topic
 from wakefold.plans.sqltext import km, step_cte
 from wakefold.plans.tables import Tables, sql_with
@@ -105,7 +105,8 @@ _ALL_SQL = (
 )
 def loitering_sliding(t: Tables) -> DataFrame:
     """Flagship: windows of every vessel, scored by the speed-and-turn equation."""
-    geometry = windows.window_geometry(_windowed(t), ["id"])
+    start = F.lit(START_S).cast("long")
+    geometry = cells.window_geometry(vessel_points(t), ["id"], start, SIZE_S, STEP_S, t.part_s)
     scored = loitering.classify_geometry(geometry, "wn", threshold=1.0)
     return scored.select(
         "id", "window_index", "n_points",
@@ -216,7 +217,10 @@ def _block_sql(columns: dict[str, str]) -> str:
 
 @topic.query("window_features", _block_sql(_BLOCK_COLUMNS))
 def window_features(t: Tables) -> DataFrame:
-    blocks = request_windows(t)
+    inside = windows.inside_interval(request_points(t), F.col("start_s"), F.col("end_s"))
+    blocks = cells.window_scalars(
+        inside, ["request_id", "id"], F.col("start_s"), REQUEST_SIZE_S, REQUEST_STEP_S, t.part_s
+    )
     return blocks.select(
         "request_id", "id", "window_index", "n_points",
         *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in _BLOCK_COLUMNS],

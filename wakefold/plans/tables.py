@@ -146,6 +146,11 @@ class Tables:
             _segment_ms[key] = suggest_segment_ms(self.points)
         return _segment_ms[key]
 
+    @property
+    def part_s(self) -> int:
+        """Length in seconds of a part of a window cell."""
+        return max(1, self.segment_ms // 1000)
+
     @cached_property
     def feature_table(self) -> DataFrame:
         return features.trajectory_features(
