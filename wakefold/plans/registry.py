@@ -14,6 +14,7 @@ TOPICS = [
     "joining",
     "metrics",
     "sliding",
+    "streams",
     "text_forms",
     "reading",
     "storing",
