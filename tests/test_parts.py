@@ -74,9 +74,20 @@ def test_interval_join_equals_plain_join(spark):
     p = spark.createDataFrame(points, "id string, ts long, pos_key long")
     e = spark.createDataFrame(events, "event_index long, id string, from_ms long, to_ms long")
     want = {(ev[0], pt[2]) for ev in events for pt in points if ev[1] == pt[0] and ev[2] <= pt[1] <= ev[3]}
-    for bucket in (7, 100, 10**6):
-        rows = [(r["event_index"], r["pos_key"]) for r in joins.interval_join(p, e, bucket).collect()]
-        assert len(rows) == len(set(rows)) and set(rows) == want
+    rows = [(r["event_index"], r["pos_key"]) for r in joins.interval_join(p, e).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert joins.interval_join(p, e.limit(0)).count() == 0
+
+
+def test_long_events_do_not_make_short_ones_coarse(spark):
+    """990 events of a minute and 10 of thirty days, a point each ten minutes: few pairs beyond the results."""
+    minute, day, rnd = 60_000, 86_400_000, random.Random(2)
+    events = [(i, "v", (s := rnd.randrange(0, 60 * day)), s + minute) for i in range(990)]
+    events += [(1000 + i, "v", (s := rnd.randrange(0, 30 * day)), s + 30 * day) for i in range(10)]
+    p = spark.range(0, 60 * 144).select(F.lit("v").alias("id"), (F.col("id") * 600_000 + 7).alias("ts"))
+    e = spark.createDataFrame(events, "event_index long, id string, from_ms long, to_ms long")
+    met, kept = joins.interval_candidates(p, e).count(), joins.interval_join(p, e).count()
+    assert 43_000 < kept <= met < 3 * kept
 
 
 def test_pair_events_skip_missing_partner(spark):
@@ -90,7 +101,7 @@ def test_cover_else_within_brute_force(spark):
     asks = [(i, rnd.choice("ab"), s, s + rnd.randrange(0, 60_000)) for i, s in enumerate(rnd.randrange(0, 100_000) for _ in range(50))]
     t = spark.createDataFrame(spans, "event_index long, id string, traj_start_ms long, traj_end_ms long, n_points long")
     r = spark.createDataFrame(asks, "request_id long, id string, from_ms long, to_ms long")
-    got = {(x["request_id"], x["event_index"], x["is_covering"]) for x in joins.cover_else_within(t, r, 9_000).collect()}
+    got = {(x["request_id"], x["event_index"], x["is_covering"]) for x in joins.cover_else_within(t, r).collect()}
     want = set()
     for rid, v, a, b in asks:
         covering = [s for s in spans if s[1] == v and s[2] <= a and s[3] >= b]
@@ -102,6 +113,26 @@ def test_cover_else_within_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("top,length", [(40, 40), (3000, 900), (10**6, 10**6)])
+def test_smallest_cover_is_found_without_pairs(spark, top, length):
+    rnd = random.Random(top)
+    spans = [(i, rnd.choice("ab"), s, s + rnd.randrange(0, length), rnd.choice([None, 1, 2])) for i, s in enumerate(rnd.randrange(-top, top) for _ in range(300))]
+    asks = [(i, rnd.choice("abc"), s, s + rnd.randrange(0, length // 2)) for i, s in enumerate(rnd.randrange(-top, top) for _ in range(300))]
+    t = spark.createDataFrame(spans, "event_index long, id string, traj_start_ms long, traj_end_ms long, n_points long")
+    r = spark.createDataFrame(asks, "request_id long, id string, from_ms long, to_ms long")
+    found = joins.covering_trajectory(t, r)
+    got = {(x["request_id"], x["event_index"]) for x in found.collect()}
+    want = set()
+    for rid, v, a, b in asks:
+        covering = [s for s in spans if s[1] == v and s[2] <= a and s[3] >= b]
+        if covering:
+            length_s = lambda s: int(s[3] / 1000) - int(s[2] / 1000)
+            want.add((rid, min(covering, key=lambda s: (length_s(s), s[4] or 2**62, s[0]))[0]))
+    assert got == want and len(want) > 50
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and joins.covering_trajectory(t.limit(0), r).count() == 0
+
+
 def test_event_index_is_gapless_with_frequent_values(spark):
     rows = [(7 if i % 3 == 0 else i, f"m{i % 5}", i) for i in range(500)]
     frame = spark.createDataFrame(rows, "T_start long, MMSI string, key long").repartition(6)

@@ -13,13 +13,13 @@ def test_registered_training_is_whole(spark, monkeypatch):
     seen = {}
 
     def record(name):
-        def train(table, labels, classifier, folds=5):
+        def train(table, labels, classifier, folds=5, path=None):
             inner = classifier.getClassifier() if hasattr(classifier, "getClassifier") else classifier
             kinds = ("numTrees", "maxDepth", "maxIter")
             seen[name] = (folds, *[inner.getOrDefault(k) for k in kinds if inner.hasParam(k)])
             return Kept
 
-        def curve(table, labels, classifier_at, steps, folds=5):
+        def curve(table, labels, classifier_at, steps, folds=5, path=None):
             train(table, labels, classifier_at(steps[-1]), folds)
             seen[name] += (len(steps), steps[-1])
 
@@ -28,6 +28,7 @@ def test_registered_training_is_whole(spark, monkeypatch):
         getattr(training, name)(None)
 
     monkeypatch.setattr(training, "_table", lambda t: None)
+    monkeypatch.setattr(training, "_fold_path", lambda t: None)
     for name in ("svm_loitering_transshipment", "rf_loitering_transshipment", "rf_loitering_stopping",
                  "rf_multiclass", "svm_multiclass", "train_test_report", "learning_curve"):
         record(name)
@@ -43,14 +44,32 @@ def test_forest_curve_scores_the_first_trees(spark, monkeypatch):
     table = spark.createDataFrame(rows, "row_key string, behavior_type_label string, x double, y double")
     labels, features = ["A", "B"], ["x", "y"]
     model = trainers.pipeline(trainers.forest(6, 30), features, labels).fit(table)
-    whole, one = (trainers.score(trainers.first_trees(model, k), table) for k in (6, 1))
-    keyed = [r["prediction"] for r in trainers.score(model, table).orderBy("row_key").collect()]
-    assert [r["prediction"] for r in whole.orderBy("row_key").collect()] == keyed
-    first = model.stages[4].trees[0]
-    inputs = one.select("row_key", "features", F.col("prediction").alias("got"))
-    assert first.transform(inputs).where("got <> prediction").count() == 0
+    staged = trainers.staged_scores(model, table, [1, 4, 6])
+    at = {k: {r["row_key"]: r["predicted"] for r in staged.where(F.col("step") == k).collect()} for k in (1, 6)}
+    assert at[6] == {r["row_key"]: r["predicted"] for r in trainers.score(model, table).collect()}
+    assert staged.count() == 3 * table.count()
+    prepared = table
+    for stage in (model.stages[0], model.stages[1], model.stages[2]):
+        prepared = stage.transform(prepared)
+    first = model.stages[4].trees[0].transform(prepared)
+    assert at[1] == {r["row_key"]: labels[int(r["prediction"])] for r in first.collect()}
     fits = []
     fit = trainers.Pipeline.fit
     monkeypatch.setattr(trainers.Pipeline, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
     curve = trainers.learning_curve(table, labels, trainers.forest, [1, 3, 6], 2, features=features)
     assert {r["step"] for r in curve.collect()} == {1, 3, 6} and len(fits) == 2
+
+
+def test_fold_models_are_fitted_once_and_shared(spark, monkeypatch, tmp_path):
+    rows = [(f"{label}{i}", label, float((i * 7) % 23 + (6 if label == "A" else 0)), float(i % 5)) for label in "AB" for i in range(60)]
+    table = spark.createDataFrame(rows, "row_key string, behavior_type_label string, x double, y double")
+    labels, features, path = ["A", "B"], ["x", "y"], str(tmp_path / "folds")
+    fits = []
+    fit = trainers.Pipeline.fit
+    monkeypatch.setattr(trainers.Pipeline, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
+    trained = trainers.train(table, labels, trainers.forest(6, 30), folds=3, features=features, path=path)
+    curve = trainers.learning_curve(table, labels, lambda k: trainers.forest(k, 30), [2, 6], 3, features=features, path=path)
+    assert len(fits) == 4
+    mean = {(r["scope"], r["metric"]): r["value"] for r in curve.where("step = 6").collect()}
+    whole = {r["metric"]: r["value"] for r in trained.metrics.collect()}
+    assert mean and any(abs(v - w) < 1e-9 for v in mean.values() for w in whole.values())

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LinearSVC, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import (
     Imputer, IndexToString, StandardScaler, StringIndexerModel, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ LABEL = "behavior_type_label"
 KEY = "row_key"
 ROWS_PER_TASK = 50_000
 UNLIMITED_DEPTH = 30  # MLlib builds no deeper trees
+FITS_AT_ONCE = 5
 
 
 def svm(max_iterations: int = 20, regularization: float = 0.0) -> Estimator:
@@ -38,8 +40,14 @@ def svm(max_iterations: int = 20, regularization: float = 0.0) -> Estimator:
 
 
 def forest(trees: int = 100, depth: int | None = None, seed: int = 42) -> Estimator:
-    """Trees are 5 deep when no depth is given; ``UNLIMITED_DEPTH`` for as deep as MLlib builds them."""
-    return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth or 5, seed=seed)
+    """Trees are 5 deep when no depth is given; ``UNLIMITED_DEPTH`` for as deep as MLlib builds them.
+
+    Each row keeps the node it is in, so a level costs a lookup and not a walk from the root, and a
+    level's nodes fit one pass.
+    """
+    return RandomForestClassifier(
+        labelCol="label", numTrees=trees, maxDepth=depth or 5, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024
+    )
 
 
 def usable_features(train: DataFrame, features: list[str]) -> list[str]:
@@ -111,21 +119,34 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return rows
 
 
-def first_trees(model: PipelineModel, count: int) -> PipelineModel:
-    """The pipeline with the first ``count`` trees of its forest; all else as fitted."""
-
-    def cut(stage):
-        if not isinstance(stage, RandomForestClassificationModel):
-            return stage
-        gateway = SparkSession.active().sparkContext._gateway
-        kind = gateway.jvm.org.apache.spark.ml.classification
-        trees = gateway.new_array(kind.DecisionTreeClassificationModel, count)
-        for i, tree in enumerate(stage.trees[:count]):
-            trees[i] = tree._java_obj
-        fewer = kind.RandomForestClassificationModel(stage.uid, trees, stage.numFeatures, stage.numClasses)
-        return RandomForestClassificationModel(fewer)
+def staged_scores(model: PipelineModel, rows: DataFrame, steps: list[int]) -> DataFrame:
+    """Every row once per step with the prediction of the forest's first ``step`` trees.
 
-    return PipelineModel([cut(stage) for stage in model.stages])
+    Each tree gives its class shares once; they are added up in the order of the trees, as the forest
+    itself does, and read off at the steps.
+    """
+    forest_at = next(i for i, stage in enumerate(model.stages) if hasattr(stage, "trees"))
+    for stage in model.stages[:forest_at]:
+        rows = rows if isinstance(stage, StringIndexerModel) else stage.transform(rows)
+    trees, given = model.stages[forest_at].trees, rows.columns
+    total, done = F.array_repeat(F.lit(0.0), model.stages[forest_at].numClasses), 0
+    for step in sorted(steps):
+        own = [f"_tree_{i}" for i in range(done, step)]
+        for name, tree in zip(own, trees[done:step], strict=True):
+            rows = tree.copy({tree.rawPredictionCol: "", tree.predictionCol: "", tree.probabilityCol: name}).transform(rows)
+        shares = F.array(*[vector_to_array(F.col(name)) for name in own])
+        added = F.aggregate(shares, total, lambda acc, share: F.zip_with(acc, share, lambda a, b: a + b))
+        rows = rows.withColumn(f"_votes_{step}", added).drop(*own)
+        total, done = F.col(f"_votes_{step}"), step
+    best = [
+        F.struct(
+            F.lit(k).cast("long").alias("step"),
+            (F.array_position(f"_votes_{k}", F.array_max(f"_votes_{k}")) - 1).cast("double").alias("prediction"),
+        )
+        for k in steps
+    ]
+    long = rows.select(*given, F.explode(F.array(*best)).alias("_at")).select(*given, "_at.*")
+    return model.stages[-1].transform(long)
 
 
 def confusion_rows(model: PipelineModel, rows: DataFrame, labels: list[str], *group) -> list[tuple]:
@@ -135,6 +156,40 @@ def confusion_rows(model: PipelineModel, rows: DataFrame, labels: list[str], *gr
     return [(*group, *row) for row in known.collect()]
 
 
+def staged_confusion_rows(model: PipelineModel, rows: DataFrame, labels: list[str], steps: list[int], fold: int) -> list[tuple]:
+    """Confusion rows of every step from one pass over the rows."""
+    scored = staged_scores(model, rows, steps).where(F.col(LABEL).isin(labels) & F.col("predicted").isin(labels))
+    counts = scored.groupBy("step", LABEL, "predicted").agg(F.count(F.lit(1)).alias("rows"))
+    return [("cv", r["step"], fold, r[LABEL], r["predicted"], r["rows"]) for r in counts.collect()]
+
+
+def at_once(work: Callable, items) -> list:
+    """``work`` for each item from a few threads, so that small fits share the cluster."""
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), items)
+
+
+def fold_models(folded: DataFrame, build: Callable[[], Pipeline], folds: int, path: str | None = None) -> list[PipelineModel]:
+    """One model per fold, fitted on the other folds.
+
+    With ``path``, models found there are loaded, and else written there for the next caller.
+    """
+    if path and _is_written(folded.sparkSession, path):
+        return [PipelineModel.load(f"{path}/fold={k}") for k in range(folds)]
+    models = at_once(lambda k: build().fit(folded.where(F.col("fold") != k)), range(folds))
+    if path:
+        at_once(lambda k: save(models[k], f"{path}/fold={k}"), range(folds))
+        folded.sparkSession.range(1).write.parquet(f"{path}/done")
+    return models
+
+
+def _is_written(spark: SparkSession, path: str) -> bool:
+    try:
+        return spark.read.parquet(f"{path}/done").count() == 1
+    except AnalysisException:
+        return False
+
+
 def report(spark: SparkSession, counted: list[tuple], labels: list[str]) -> DataFrame:
     """Metrics per (stage, step, fold) of rows made by ``confusion_rows``."""
     schema = f"stage string, step long, fold long, {LABEL} string, predicted string, rows long"
@@ -152,22 +207,26 @@ class Trained:
 
 def cross_validate(
     train: DataFrame, build: Callable[[], Pipeline], labels: list[str], folds: int, seed: int, step: int = 0,
-    trees: list[int] | None = None,
+    trees: list[int] | None = None, path: str | None = None,
 ) -> list[tuple]:
     """Confusion rows of every fold, each scored by a model that never saw it.
 
     With ``trees``, the model is a forest and each of these numbers of its first trees is a step.
+    With ``path`` the fold models are shared (see ``fold_models``).
     """
     packed = train.rdd.getNumPartitions()
     folded = kfold_assign(train, LABEL, KEY, folds, seed).repartition(packed, KEY).persist()
-    counted = []
-    for fold in range(folds):
-        model = build().fit(folded.where(F.col("fold") != fold))
+    models = fold_models(folded, build, folds, path)
+
+    def counted(fold: int) -> list[tuple]:
         held_out = folded.where(F.col("fold") == fold)
-        for at, scorer in [(k, first_trees(model, k)) for k in trees] if trees else [(step, model)]:
-            counted += confusion_rows(scorer, held_out, labels, "cv", at, fold)
+        if trees:
+            return staged_confusion_rows(models[fold], held_out, labels, trees, fold)
+        return confusion_rows(models[fold], held_out, labels, "cv", step, fold)
+
+    rows = [row for part in at_once(counted, range(folds)) for row in part]
     folded.unpersist()
-    return counted
+    return rows
 
 
 def train(
@@ -180,6 +239,7 @@ def train(
     strategy: str = "median",
     seed: int = 42,
     features: list[str] | None = None,
+    path: str | None = None,
 ) -> Trained:
     """Cross-validates on the train rows, fits on all of them and reports train and test."""
     data = training_table(table, labels, per_label, test_size, seed, features)
@@ -189,10 +249,16 @@ def train(
     def build() -> Pipeline:
         return pipeline(classifier, used, labels, strategy)
 
-    counted = cross_validate(train_rows, build, labels, folds, seed) if folds > 1 else []
-    model = build().fit(train_rows)
+    counted, model = at_once(
+        lambda work: work(),
+        [
+            lambda: cross_validate(train_rows, build, labels, folds, seed, path=path) if folds > 1 else [],
+            lambda: build().fit(train_rows),
+        ],
+    )
     counted += confusion_rows(model, train_rows, labels, "train", 0, 0)
     counted += confusion_rows(model, test_rows, labels, "test", 0, 0)
+    data.unpersist()
     scores = report(table.sparkSession, counted, labels)
     averaged = scores.groupBy("stage", "scope", "metric").agg(F.avg("value").alias("value"))
     return Trained(model, used, metrics_long(averaged, F.col("stage"), F.lit(0)), data)
@@ -216,16 +282,18 @@ def learning_curve(
     folds: int = 5,
     seed: int = 42,
     features: list[str] | None = None,
+    path: str | None = None,
 ) -> DataFrame:
     """Fold-averaged accuracy and macro scores per number of iterations or trees.
 
     A forest is fitted once per fold with the most trees; a smaller step scores its first trees.
     """
-    data = training_table(table, labels, None, 0.2, seed, features).where(F.col("split") == "train")
+    kept_rows = training_table(table, labels, None, 0.2, seed, features)
+    data = kept_rows.where(F.col("split") == "train")
     used = usable_features(data, features or FEATURES)
     largest = classifier_at(max(steps))
     if isinstance(largest, RandomForestClassifier):
-        counted = cross_validate(data, lambda: pipeline(largest, used, labels), labels, folds, seed, trees=steps)
+        counted = cross_validate(data, lambda: pipeline(largest, used, labels), labels, folds, seed, trees=steps, path=path)
         steps = []
     else:
         counted = []
@@ -234,6 +302,7 @@ def learning_curve(
             return pipeline(classifier_at(step), used, labels)
 
         counted += cross_validate(data, build, labels, folds, seed, step)
+    kept_rows.unpersist()
     scores = report(table.sparkSession, counted, labels)
     kept = scores.where((F.col("scope") == "macro_avg") | (F.col("metric") == "accuracy"))
     return kept.groupBy("step", "scope", "metric").agg(F.avg("value").alias("value"))
@@ -243,10 +312,12 @@ def objective_history(
     table: DataFrame, labels: tuple[str, str], max_iterations: int = 20, seed: int = 42
 ) -> DataFrame:
     """Objective per iteration of a two-class linear SVM."""
-    data = training_table(table, list(labels), None, 0.2, seed).where(F.col("split") == "train")
+    rows = training_table(table, list(labels), None, 0.2, seed)
+    data = rows.where(F.col("split") == "train")
     used = usable_features(data, FEATURES)
     fitted = pipeline(LinearSVC(labelCol="label", maxIter=max_iterations, regParam=0.0), used, list(labels)).fit(data)
     history = fitted.stages[4].summary().objectiveHistory
+    rows.unpersist()
     return table.sparkSession.createDataFrame(
         [(i, float(v)) for i, v in enumerate(history)], "iteration long, objective double"
     )

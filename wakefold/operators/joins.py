@@ -2,47 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakefold.schemas import HOUR_MS
 
-BUCKET_MS = 6 * HOUR_MS
+def length_level(from_ms: Column, to_ms: Column) -> Column:
+    """Length class of an interval: buckets of its level are 2**level long, a quarter of it or less."""
+    length = F.greatest(to_ms - from_ms, F.lit(1))
+    return F.greatest(F.ceil(F.log2(length)) - 2, F.lit(0)).cast("int")
 
 
-def time_bucket(ts: Column, bucket_ms: int) -> Column:
-    return F.floor(ts / F.lit(bucket_ms)).cast("long")
+def level_bucket(ts: Column, level: Column) -> Column:
+    return F.floor(ts / F.pow(F.lit(2.0), level)).cast("long")
 
 
-def covered_buckets(from_ms: Column, to_ms: Column, bucket_ms: int) -> Column:
-    return F.sequence(time_bucket(from_ms, bucket_ms), time_bucket(to_ms, bucket_ms))
+def interval_candidates(points: DataFrame, events: DataFrame) -> DataFrame:
+    """Points and events that meet in a bucket: all pairs that hold, and few others.
 
-
-def suggest_bucket_ms(intervals: DataFrame) -> int:
-    """A quarter of the mean interval length.
-
-    The copies of n intervals over buckets then sum to at most 4n + 2n, however uneven their
-    lengths are, and a point meets little more than the intervals that hold it.
+    Each event has the buckets of its own length class, five at most, so a few very long events make
+    neither short ones coarse nor themselves into many rows. A point looks once into each class that
+    occurs among the events; the classes, about 40 at most, are one value of a scalar subquery.
     """
-    mean = intervals.agg(F.avg(F.greatest(F.col("to_ms") - F.col("from_ms"), F.lit(0)))).first()[0]
-    return max(1, int((mean or 0) / 4))
+    level = length_level(F.col("from_ms"), F.col("to_ms"))
+    placed = events.where(F.col("from_ms") <= F.col("to_ms")).withColumn("_level", level)
+    first, last = (level_bucket(F.col(c), F.col("_level")) for c in ("from_ms", "to_ms"))
+    spread = placed.withColumn("_bucket", F.explode(F.sequence(first, last)))
+    present = placed.agg(F.collect_set("_level")).scalar()
+    probing = points.withColumn("_level", F.explode(present))
+    return probing.withColumn("_bucket", level_bucket(F.col("ts"), F.col("_level"))).join(spread, ["id", "_level", "_bucket"])
 
 
-def interval_join(points: DataFrame, events: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def interval_join(points: DataFrame, events: DataFrame) -> DataFrame:
     """Points inside ``[from_ms, to_ms]`` of events of the same vessel, both ends included.
 
-    The equality is on vessel and time bucket, so a vessel with a very long track is spread
-    over many tasks and a point meets only events near it. Each point lies in one bucket and
-    each event has a bucket once, so no pair comes twice. A point in k events gives k rows.
+    The equality is on vessel, length class and time bucket, so a vessel with a very long track is
+    spread over many tasks and a point meets only events near it. A point lies in one bucket of a
+    class and an event has a bucket once, so no pair comes twice. A point in k events gives k rows.
     """
-    spread = events.where(F.col("from_ms") <= F.col("to_ms")).withColumn(
-        "bucket", F.explode(covered_buckets(F.col("from_ms"), F.col("to_ms"), bucket_ms))
-    )
-    return (
-        points.withColumn("bucket", time_bucket(F.col("ts"), bucket_ms))
-        .join(spread, ["id", "bucket"])
-        .where(F.col("ts").between(F.col("from_ms"), F.col("to_ms")))
-    )
+    met = interval_candidates(points, events)
+    return met.where(F.col("ts").between(F.col("from_ms"), F.col("to_ms"))).drop("_level", "_bucket")
 
 
 def pair_events(events: DataFrame) -> DataFrame:
@@ -52,8 +50,8 @@ def pair_events(events: DataFrame) -> DataFrame:
     )
 
 
-def pair_interval_join(points: DataFrame, events: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
-    return interval_join(points, pair_events(events), bucket_ms).drop("MMSI", "MMSI_2", "bucket")
+def pair_interval_join(points: DataFrame, events: DataFrame) -> DataFrame:
+    return interval_join(points, pair_events(events)).drop("MMSI", "MMSI_2")
 
 
 def vessel_semi_filter(points: DataFrame, events: DataFrame) -> DataFrame:
@@ -66,59 +64,109 @@ def vessel_semi_filter(points: DataFrame, events: DataFrame) -> DataFrame:
     return inside.join(events.select("id").distinct(), "id", "left_semi")
 
 
-def covering_trajectory(
-    trajectories: DataFrame, requests: DataFrame, bucket_ms: int = BUCKET_MS
-) -> DataFrame:
+_REQUEST = ["request_id", "id", "from_ms", "to_ms"]
+_SHIFT = 1 << 60  # makes times positive, so that bits tell the order
+
+
+def _node(frame: DataFrame, start: str, end: str) -> DataFrame:
+    """Adds the least dyadic interval that holds both ends: its level and its number.
+
+    From level 1 on, its middle lies behind the start and not behind the end.
+    """
+    a, b = F.col(start) + F.lit(_SHIFT), F.col(end) + F.lit(_SHIFT)
+    apart = a.bitwiseXOR(b)
+    level = F.when(apart == 0, F.lit(0)).otherwise(F.length(F.bin(apart)))
+    return frame.withColumn("_level", level).withColumn("_number", F.call_function("shiftright", a, F.col("_level")))
+
+
+def _middle() -> Column:
+    """Middle of a node of level 1 or more, in shifted time."""
+    low = F.call_function("shiftleft", F.col("_number"), F.col("_level"))
+    return low + F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.col("_level") - 1, F.lit(0)))
+
+
+def _bit_blocks(level: Column, f) -> Column:
+    return F.transform(F.sequence(F.lit(0), level - 1), f)
+
+
+def covering_trajectory(trajectories: DataFrame, requests: DataFrame) -> DataFrame:
     """Shortest trajectory that covers each request; ties go to fewer points, then to the key.
 
-    A covering trajectory contains the request's start, so both meet in the bucket of that
-    start. The choice is a ``min_by``, which is combined before the shuffle.
+    Requests are never paired with trajectories. A trajectory is kept at its dyadic node. All that
+    cover a request lie at the request's node or above it. Above, the request lies on one side of the
+    middle, so one end is sure and the other is a matter of order: the best so far, in order of starts
+    on the left side and of ends on the right one. At the request's own node both ends count; there
+    the distance of the start from the middle is cut by its bits, so that every trajectory farther out
+    lies in one block for each bit at most, and inside a block the order of ends decides. All orders
+    are one window function with a running minimum.
     """
-    spread = trajectories.withColumn(
-        "bucket", F.explode(covered_buckets(F.col("traj_start_ms"), F.col("traj_end_ms"), bucket_ms))
-    )
-    asked = requests.withColumn("bucket", time_bucket(F.col("from_ms"), bucket_ms))
-    covers = (F.col("traj_start_ms") <= F.col("from_ms")) & (F.col("traj_end_ms") >= F.col("to_ms"))
-    pairs = asked.join(spread, ["id", "bucket"]).where(covers)
-    row = F.struct("event_index", "traj_start_ms", "traj_end_ms", "n_points")
     rank = F.struct(
-        F.expr("traj_end_ms div 1000 - traj_start_ms div 1000"),
-        F.coalesce(F.col("n_points"), F.lit(2**62)),
-        "event_index",
+        F.expr("traj_end_ms div 1000 - traj_start_ms div 1000").alias("seconds"),
+        F.coalesce(F.col("n_points"), F.lit(2**62)).alias("points"),
+        "event_index", "traj_start_ms", "traj_end_ms", "n_points",
+    )
+    tracks = _node(trajectories.where("traj_start_ms <= traj_end_ms"), "traj_start_ms", "traj_end_ms")
+    tracks = tracks.withColumn("best", rank).withColumn("ask", F.lit(None).cast("struct<request_id:bigint,from_ms:bigint,to_ms:bigint>"))
+    asked = _node(requests.where("from_ms <= to_ms"), "from_ms", "to_ms").withColumn("best", F.lit(None).cast(tracks.schema["best"].dataType))
+    asked = asked.withColumn("ask", F.struct(F.col("request_id").cast("long").alias("request_id"), "from_ms", "to_ms"))
+    common = ["id", "_level", "_number"]
+
+    def rows(frame: DataFrame, place: Column, *columns: str) -> DataFrame:
+        """``place``: side, bit, block and position in the order."""
+        return frame.withColumn("_at", place).select(*common, "_at.*", *columns)
+
+    def at(side: str, position: Column, bit: Column | int = -1, block: Column | int = -1) -> Column:
+        bit, block = (F.lit(x) if isinstance(x, int) else x for x in (bit, block))
+        return F.struct(F.lit(side).alias("side"), bit.cast("int").alias("bit"), block.cast("long").alias("block"), position.alias("position"))
+
+    start, end = F.col("traj_start_ms"), -F.col("traj_end_ms")
+    ordered = rows(tracks, F.explode(F.array(at("left", start), at("right", end))), "best", "ask")
+
+    present = tracks.agg(F.collect_set("_level")).scalar()
+    upper = asked.withColumn("_upper", F.explode(present)).where("_upper > _level OR (_upper = 0 AND _level = 0)")
+    upper = upper.withColumn("_level", F.col("_upper")).withColumn(
+        "_number", F.call_function("shiftright", F.col("from_ms") + F.lit(_SHIFT), F.col("_level"))
     )
-    chosen = pairs.groupBy("request_id", "id", "from_ms", "to_ms").agg(F.min_by(row, rank).alias("t"))
-    return chosen.select("request_id", "id", "from_ms", "to_ms", "t.*")
+    is_left = (F.col("_level") > 0) & (F.col("to_ms") + F.lit(_SHIFT) < _middle())
+    probes = rows(upper, F.when(is_left, at("left", F.col("from_ms"))).otherwise(at("right", -F.col("to_ms"))), "best", "ask")
 
+    own = asked.where("_level > 0").withColumn("_far", _middle() - F.lit(_SHIFT) - F.col("from_ms"))
+    outside = tracks.join(own.select(*common).distinct(), common, "left_semi").withColumn("_far", _middle() - F.lit(_SHIFT) - start)
 
-def within_trajectories(
-    trajectories: DataFrame, requests: DataFrame, bucket_ms: int = BUCKET_MS
-) -> DataFrame:
-    """All trajectories that lie wholly inside each request."""
-    spread = requests.where(F.col("from_ms") <= F.col("to_ms")).withColumn(
-        "bucket", F.explode(covered_buckets(F.col("from_ms"), F.col("to_ms"), bucket_ms))
+    def shifted(bit: Column) -> Column:
+        return F.call_function("shiftright", F.col("_far"), bit)
+
+    blocks = rows(outside, F.explode(_bit_blocks(F.col("_level"), lambda i: at("both", end, i, shifted(i)))), "best", "ask")
+    farther = F.filter(
+        _bit_blocks(F.col("_level"), lambda i: F.when(shifted(i) % 2 == 0, at("both", -F.col("to_ms"), i, shifted(i) + 1))),
+        lambda x: x.isNotNull(),
     )
-    inside = (F.col("traj_start_ms") >= F.col("from_ms")) & (F.col("traj_end_ms") <= F.col("to_ms"))
-    return (
-        trajectories.withColumn("bucket", time_bucket(F.col("traj_start_ms"), bucket_ms))
-        .join(spread, ["id", "bucket"])
-        .where(inside)
-        .select(
-            "request_id", "id", "from_ms", "to_ms",
-            "event_index", "traj_start_ms", "traj_end_ms", "n_points",
-        )
+    equal = F.array(at("both", -F.col("to_ms"), 0, F.col("_far")))
+    inner = rows(own, F.explode(F.concat(farther, equal)), "best", "ask")
+
+    order = Window.partitionBy(*common, "side", "bit", "block").orderBy(F.asc("position"), F.asc_nulls_first("ask.from_ms"))
+    so_far = F.min("best").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    swept = ordered.union(probes).union(blocks).union(inner).withColumn("found", so_far)
+    chosen = swept.where("ask IS NOT NULL AND found IS NOT NULL").groupBy("id", "ask").agg(F.min("found").alias("t"))
+    return chosen.select(
+        "ask.request_id", "id", "ask.from_ms", "ask.to_ms", "t.event_index", "t.traj_start_ms", "t.traj_end_ms", "t.n_points"
     )
 
 
-def cover_else_within(
-    trajectories: DataFrame, requests: DataFrame, bucket_ms: int = BUCKET_MS
-) -> DataFrame:
+def within_trajectories(trajectories: DataFrame, requests: DataFrame) -> DataFrame:
+    """All trajectories that lie wholly inside each request."""
+    met = interval_join(trajectories.withColumn("ts", F.col("traj_start_ms")), requests)
+    return met.where("traj_end_ms <= to_ms").select(*_REQUEST, "event_index", "traj_start_ms", "traj_end_ms", "n_points")
+
+
+def cover_else_within(trajectories: DataFrame, requests: DataFrame) -> DataFrame:
     """The covering trajectory of each request, or else every trajectory inside it.
 
     Trajectories that only overlap a request are never returned.
     """
-    covering = covering_trajectory(trajectories, requests, bucket_ms)
+    covering = covering_trajectory(trajectories, requests)
     left = requests.join(covering.select("request_id"), "request_id", "left_anti")
-    inside = within_trajectories(trajectories, left, bucket_ms)
+    inside = within_trajectories(trajectories, left)
     return covering.withColumn("is_covering", F.lit(True)).unionByName(
         inside.withColumn("is_covering", F.lit(False))
     )

@@ -33,8 +33,8 @@ def interval_join(t: Tables) -> DataFrame:
          FROM annotated GROUP BY ALL""",
 )
 def interval_join_bucketed(t: Tables) -> DataFrame:
-    """One-hour buckets, with the points of each event counted per bucket."""
-    joined = joins.interval_join(t.points, t.own_intervals, HOUR_MS)
+    """The points of each event counted per hour."""
+    joined = joins.interval_join(t.points, t.own_intervals).withColumn("bucket", F.floor(F.col("ts") / HOUR_MS).cast("long"))
     return joined.groupBy("event_index", "id", "bucket").agg(
         F.count(F.lit(1)).alias("n_points"), F.min("ts").alias("first_ts")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from wakefold.functions.timefmt import epoch_ms
 from wakefold.operators import features, labels
-from wakefold.operators.joins import interval_join, pair_events, pair_interval_join, suggest_bucket_ms
+from wakefold.operators.joins import interval_join, pair_events, pair_interval_join
 from wakefold.operators.segments import suggest_segment_ms, track_summaries
 from wakefold.operators.tracks import trajectory_arrays
 from wakefold.sources.shared import new_path
@@ -23,7 +23,6 @@ EVENT_SPAN_S = 172_800
 
 _stored: dict[tuple[str, str], str] = {}
 _segment_ms: dict[tuple[str, str], int] = {}
-_bucket_ms: dict[tuple[str, str], int] = {}
 
 
 class Tables:
@@ -123,20 +122,12 @@ class Tables:
     @cached_property
     def annotated(self) -> DataFrame:
         """Points with event and category (own vessel only)."""
-        return interval_join(self.points, self.own_intervals, self.bucket_ms).drop("bucket")
+        return interval_join(self.points, self.own_intervals)
 
     @cached_property
     def event_points(self) -> DataFrame:
         """Points of each event for both vessels of a pair."""
-        return pair_interval_join(self.points, self.event_intervals, self.bucket_ms)
-
-    @property
-    def bucket_ms(self) -> int:
-        """Time bucket of interval joins, measured once per application."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
-        if key not in _bucket_ms:
-            _bucket_ms[key] = suggest_bucket_ms(self.event_intervals)
-        return _bucket_ms[key]
+        return pair_interval_join(self.points, self.event_intervals)
 
     @property
     def segment_ms(self) -> int:
