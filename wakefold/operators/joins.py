@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakefold.sources.shared import ensure_checkpoint_dir
+
 
 def length_level(from_ms: Column, to_ms: Column) -> Column:
     """Length class of an interval: buckets of its level are 2**level long, a quarter of it or less."""
@@ -89,6 +91,16 @@ def _bit_blocks(level: Column, f) -> Column:
     return F.transform(F.sequence(F.lit(0), level - 1), f)
 
 
+def _settled(frame: DataFrame) -> DataFrame:
+    """The rows written once in the checkpoint folder, as they are read several times."""
+    ensure_checkpoint_dir(frame.sparkSession)
+    return frame.checkpoint(eager=True)
+
+
+def _spans(trajectories: DataFrame) -> DataFrame:
+    return _settled(trajectories.select("event_index", "id", "traj_start_ms", "traj_end_ms", "n_points"))
+
+
 def covering_trajectory(trajectories: DataFrame, requests: DataFrame) -> DataFrame:
     """Shortest trajectory that covers each request; ties go to fewer points, then to the key.
 
@@ -97,9 +109,14 @@ def covering_trajectory(trajectories: DataFrame, requests: DataFrame) -> DataFra
     middle, so one end is sure and the other is a matter of order: the best so far, in order of starts
     on the left side and of ends on the right one. At the request's own node both ends count; there
     the distance of the start from the middle is cut by its bits, so that every trajectory farther out
-    lies in one block for each bit at most, and inside a block the order of ends decides. All orders
-    are one window function with a running minimum.
+    lies in one block for each bit at most, and inside a block the order of ends decides. Tracks that
+    reach no request of their node are left out before. All orders are one window function with a
+    running minimum.
     """
+    return _covering(_spans(trajectories), requests)
+
+
+def _covering(trajectories: DataFrame, requests: DataFrame) -> DataFrame:
     rank = F.struct(
         F.expr("traj_end_ms div 1000 - traj_start_ms div 1000").alias("seconds"),
         F.coalesce(F.col("n_points"), F.lit(2**62)).alias("points"),
@@ -131,7 +148,9 @@ def covering_trajectory(trajectories: DataFrame, requests: DataFrame) -> DataFra
     probes = rows(upper, F.when(is_left, at("left", F.col("from_ms"))).otherwise(at("right", -F.col("to_ms"))), "best", "ask")
 
     own = asked.where("_level > 0").withColumn("_far", _middle() - F.lit(_SHIFT) - F.col("from_ms"))
-    outside = tracks.join(own.select(*common).distinct(), common, "left_semi").withColumn("_far", _middle() - F.lit(_SHIFT) - start)
+    reach = own.groupBy(*common).agg(F.max("from_ms").alias("_from"), F.min("to_ms").alias("_to"))
+    outside = tracks.join(reach, common).where("traj_start_ms <= _from AND traj_end_ms >= _to")
+    outside = outside.withColumn("_far", _middle() - F.lit(_SHIFT) - start)
 
     def shifted(bit: Column) -> Column:
         return F.call_function("shiftright", F.col("_far"), bit)
@@ -164,7 +183,8 @@ def cover_else_within(trajectories: DataFrame, requests: DataFrame) -> DataFrame
 
     Trajectories that only overlap a request are never returned.
     """
-    covering = covering_trajectory(trajectories, requests)
+    trajectories = _spans(trajectories)
+    covering = _settled(_covering(trajectories, requests))
     left = requests.join(covering.select("request_id"), "request_id", "left_anti")
     inside = within_trajectories(trajectories, left)
     return covering.withColumn("is_covering", F.lit(True)).unionByName(
