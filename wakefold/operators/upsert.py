@@ -43,27 +43,34 @@ def _named(updates: DataFrame) -> DataFrame:
     return updates
 
 
-def _reason(updates: DataFrame, keys: list[str]) -> Column:
-    """Why a row cannot be stored, or null. Only part 0 of a long trajectory needs two positions."""
+def reject_reason(columns: list[str], keys: list[str] = TRAJECTORY_KEYS) -> Column:
+    """Why a row cannot be stored, or null: ``key`` for a null in the key, ``trajectory`` for a short path.
+
+    A trajectory of several parts is judged as a whole by its part 0, the only one that needs two
+    positions; without a usable part 0 all its parts are rejected.
+    """
     missing = F.lit(False)
     for key in keys:
         missing = missing | F.col(key).isNull()
-    short = ~is_valid_linestring(F.col("trajectory"))
-    if "part" in updates.columns:
-        short = short & (F.col("part") == 0)
-    return F.when(missing, F.lit("key")).when(short, F.lit("trajectory"))
+    usable = is_valid_linestring(F.col("trajectory"))
+    if "part" in columns:
+        revision = [c for c in ("revision",) if c in columns]
+        whole = Window.partitionBy(*keys, *revision)
+        usable = F.coalesce(F.max((F.col("part") == 0) & usable).over(whole), F.lit(False))
+    return F.when(missing, F.lit("key")).when(~usable, F.lit("trajectory"))
 
 
 def rejected(updates: DataFrame, keys: list[str] = TRAJECTORY_KEYS) -> DataFrame:
     """Updates that cannot be stored with their ``reason``: ``key`` for a null in the key, else ``trajectory``."""
     named = _named(updates)
-    return named.withColumn("reason", _reason(named, keys)).where("reason IS NOT NULL")
+    return named.withColumn("reason", reject_reason(named.columns, keys)).where("reason IS NOT NULL")
 
 
 def valid_trajectories(updates: DataFrame, keys: list[str] = TRAJECTORY_KEYS) -> DataFrame:
-    """Updates that can be stored: at least two positions and no null in the key."""
+    """Updates that can be stored: at least two positions in the whole and no null in the key."""
     named = _named(updates)
-    return named.where(_reason(named, keys).isNull())
+    judged = named.withColumn("_reason", reject_reason(named.columns, keys))
+    return judged.where("_reason IS NULL").drop("_reason")
 
 
 def validity_counts(updates: DataFrame) -> DataFrame:
@@ -75,7 +82,8 @@ def validity_counts(updates: DataFrame) -> DataFrame:
     ok = is_valid_linestring(F.col("trajectory"))
     if set(TRAJECTORY_KEYS) <= set(_named(whole).columns):
         whole = _named(whole)
-        ok = _reason(whole, TRAJECTORY_KEYS).isNull()
+        whole = whole.withColumn("_ok", reject_reason([], TRAJECTORY_KEYS).isNull())
+        ok = F.col("_ok")
     return whole.agg(
         F.count(F.lit(1)).alias("processed"),
         F.count_if(ok).alias("valid"),

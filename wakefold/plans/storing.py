@@ -12,7 +12,7 @@ from wakefold.plans.registry import Topic
 from wakefold.plans.sliding import _REQUEST_SQL, _geometry_sql, request_windows
 from wakefold.plans.sqltext import step_cte
 from wakefold.plans.tables import Tables, sql_with
-from wakefold.sources import writers
+from wakefold.sources import snapshots, writers
 from wakefold.sources.shared import new_path
 
 topic = Topic()
@@ -100,6 +100,55 @@ def upsert_trajectories(t: Tables) -> DataFrame:
     )
 
 
+_UPSERT_PARTS = sql_with("event_points", extra=step_cte("steps", "event_points", "event_index, id")) + """, base AS (
+         SELECT id AS mmsi, event_index, Category AS behavior_type_label, avg(sog) AS average_speed,
+                count(*) AS n_points FROM steps GROUP BY ALL)"""
+SNAPSHOT_BUCKETS = 32
+
+
+def _snapshot(t: Tables) -> tuple[DataFrame, dict[str, int]]:
+    """A snapshot without normal trajectories after an upsert of all but the stopping ones, each in two revisions."""
+    stored = t.stored.select(
+        F.col("id").alias("mmsi"), "event_index", "behavior_type_label", "part", "trajectory", "average_speed",
+        "n_points",
+    )
+    keys, path = upsert.TRAJECTORY_KEYS, new_path(t.spark, "snapshot")
+    target = upsert.valid_trajectories(stored.where(F.col("behavior_type_label") != "NORMAL"))
+    snapshots.create(target, path, keys, SNAPSHOT_BUCKETS)
+    changed = stored.where(F.col("behavior_type_label") != "STOPPING")
+    updates = changed.withColumn("revision", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
+        "average_speed", F.col("average_speed") * F.col("revision")
+    )
+    reason = upsert.reject_reason(updates.columns)
+    counts = snapshots.apply(t.spark, path, keys, updates, reason, [F.desc("revision")], SNAPSHOT_BUCKETS)
+    return snapshots.read(t.spark, path), counts
+
+
+@topic.query(
+    "snapshot_upsert",
+    _UPSERT_PARTS
+    + """SELECT mmsi, event_index, behavior_type_label, n_points,
+                round(CASE WHEN behavior_type_label = 'STOPPING' THEN average_speed ELSE average_speed * 2 END, 6) AS average_speed
+         FROM base WHERE n_points >= 2""",
+)
+def snapshot_upsert(t: Tables) -> DataFrame:
+    rows, _ = _snapshot(t)
+    return rows.where("part = 0").select(*upsert.TRAJECTORY_KEYS, "n_points", F.round("average_speed", 6).alias("average_speed"))
+
+
+@topic.query(
+    "snapshot_upsert_counts",
+    _UPSERT_PARTS
+    + """SELECT unnest(['processed', 'upserted', 'rejected']) AS what,
+                unnest([2 * count(*), count(*) FILTER (n_points >= 2), 2 * count(*) FILTER (n_points < 2)]) AS trajectories
+         FROM base WHERE behavior_type_label <> 'STOPPING'""",
+)
+def snapshot_upsert_counts(t: Tables) -> DataFrame:
+    """Updates seen and rejected, and trajectories stored, as counted by the upsert itself."""
+    _, counts = _snapshot(t)
+    return t.spark.createDataFrame(list(counts.items()), "what string, trajectories long")
+
+
 _KEY_SQL = (
     _REQUEST_SQL + "," + _geometry_sql("request_id, id") + """,
   blocks AS (SELECT request_id, s.id AS mmsi, window_index, min(s.event_index) AS event_index,
@@ -146,6 +195,26 @@ def upsert_predictions(t: Tables) -> DataFrame:
     )
 
 
+@topic.query(
+    "loitering_requests_stored",
+    sql_with("requests", "spans", extra=_KEY_SQL)
+    + """SELECT mmsi, event_index, behavior_type_label, timestamp_array, aggregated_ais_data_id,
+                round(trajectory_redundancy, 6) AS trajectory_redundancy,
+                CASE WHEN trajectory_redundancy > 1 THEN 'LOITERING' ELSE 'NON-LOITERING' END
+                  AS behavior_type_by_loitering_equation FROM latest""",
+)
+def loitering_requests_stored(t: Tables) -> DataFrame:
+    """The whole chain of a request: selection, windows, score, upsert into the stored predictions, and those read back."""
+    fresh, keys, path = _predictions(t), upsert.PREDICTION_KEYS, new_path(t.spark, "predictions")
+    snapshots.create(fresh.limit(0), path, keys, SNAPSHOT_BUCKETS)
+    order = [F.desc("request_id"), F.col("window_index")]
+    snapshots.apply(t.spark, path, keys, fresh, F.lit(None).cast("string"), order, SNAPSHOT_BUCKETS, fresh.schema)
+    stored = snapshots.read(t.spark, path, fresh.schema)
+    return stored.drop("request_id", "window_index").withColumn(
+        "trajectory_redundancy", F.round("trajectory_redundancy", 6)
+    )
+
+
 @topic.query(
     "prediction_parent_join",
     sql_with("requests", "spans", extra=_KEY_SQL)
