@@ -10,12 +10,12 @@ from wakefold.sources.shared import ensure_checkpoint_dir
 
 def length_level(from_ms: Column, to_ms: Column) -> Column:
     """Length class of an interval: buckets of its level are 2**level long, a quarter of it or less."""
-    length = F.greatest(to_ms - from_ms, F.lit(1))
+    length = F.greatest(to_ms.cast("double") - from_ms.cast("double"), F.lit(1.0))
     return F.greatest(F.ceil(F.log2(length)) - 2, F.lit(0)).cast("int")
 
 
 def level_bucket(ts: Column, level: Column) -> Column:
-    return F.floor(ts / F.pow(F.lit(2.0), level)).cast("long")
+    return F.call_function("shiftright", ts.cast("long"), level)
 
 
 def interval_candidates(points: DataFrame, events: DataFrame) -> DataFrame:
