@@ -35,12 +35,21 @@ def test_bloom_filter_has_no_false_negative(spark):
     from pyspark.sql import functions as F
 
     keys = spark.range(5000).select(F.concat(F.lit("host"), "id", F.lit("/")).alias("key"))
-    built = url_filter.bloom_filter(keys)
-    dense = built.select(url_filter._dense(F.col("words"), F.col("blocks"))).scalar()
-    blocks = built.select("blocks").scalar()
-    assert keys.where(~url_filter._may_contain(dense, blocks, F.col("key"))).count() == 0
+    assert url_filter.possible(keys, keys, 157).count() == 5000
     other = spark.range(5000).select(F.concat(F.lit("other"), "id").alias("key"))
-    assert other.where(url_filter._may_contain(dense, blocks, F.col("key"))).count() < 500
+    assert url_filter.possible(other, keys, 157).count() < 500
+    assert url_filter.possible(other, keys.limit(0), 1).count() == 0
+
+
+def test_a_million_rules_are_built_in_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    rules = spark.range(1_000_000).select(F.lit("block").alias("verdict"), F.concat("id", F.lit(".org")).alias("host"), F.lit("/").alias("path"))
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www."), F.col("id") * 1000, F.lit(".org/x")).alias("url"))
+    found = url_filter.judged(pages, rules)
+    assert found.where("verdict = 'block'").count() == 1000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("scalar-subquery") <= 2 and plan.count("Aggregate") < 10
 
 
 def _base(text):

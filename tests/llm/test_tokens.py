@@ -86,3 +86,11 @@ def test_store_round_trip(spark):
     empty = shared.new_path(spark, "store")
     write_store(documents(spark, []), empty)
     assert read_documents(spark, empty).count() == 0
+
+
+def test_lookup_of_ids_far_apart(spark, tmp_path):
+    ids = [1, 2**60, -(2**62), 2**62, 5, 2**40 + 3]
+    path = str(tmp_path / "far")
+    write_store(documents(spark, [(i, f"text {i}") for i in ids] + [(5, "again")]), path)
+    wanted = spark.createDataFrame([(i,) for i in [*ids, 7, 2**59, None]], "doc_id long")
+    assert {r.doc_id for r in lookup(spark, path, wanted).collect()} == set(ids)

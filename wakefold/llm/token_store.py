@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from wakefold.llm.encoding import encoder, vocabulary_path
 from wakefold.llm.store import in_tasks
 from wakefold.llm.textcore import U64, mix
+from wakefold.operators.joins import interval_join
 from wakefold.sources import shared
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -228,20 +229,18 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """doc_id and ids of the wanted doc_ids that the store holds (first row of an id).
 
-    Each wanted id is sent to the shards whose range of ids holds it, by an equality on blocks of
-    ids; their indexes answer.
+    Each wanted id is sent to the shards whose range of ids holds it, by an interval join on the
+    shards' bounds that needs few entries for a shard however far apart its ids lie; their indexes answer.
     """
     shards = read_shards(spark, path)
-    block = F.lit(1 << 16)
+    one = F.lit("").alias("id")
     ranges = shards.where("first_id IS NOT NULL").select(
-        "part", "shard", "first_id", "last_id",
-        F.explode(F.sequence(F.floor(F.col("first_id") / block), F.floor(F.col("last_id") / block))).alias("_block"),
-    )
-    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+        one, "part", "shard", F.col("first_id").alias("from_ms"), F.col("last_id").alias("to_ms")
+    )
+    asked = wanted.select(one, F.col("doc_id").cast("long").alias("ts")).where("ts IS NOT NULL").distinct()
     sent = (
-        asked.withColumn("_block", F.floor(F.col("doc_id") / block))
-        .join(ranges, "_block")
-        .where("doc_id BETWEEN first_id AND last_id")
+        interval_join(asked, ranges)
+        .withColumnRenamed("ts", "doc_id")
         .groupBy("part", "shard")
         .agg(F.collect_list("doc_id").alias("asked"))
     )

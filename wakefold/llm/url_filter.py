@@ -4,8 +4,9 @@ A rule is a host and a path prefix; it fits the host, its subdomains and every p
 with the prefix. Canonical rule keys (``host/path``) set bits in a filter of 512-bit blocks: one
 hash picks the block, others the bits in it. A URL probes the keys of its host's suffixes and of
 its path's prefixes of the listed lengths. Only URLs with a possible hit reach the exact join,
-which drops the false positives. The filter has a fixed number of blocks for each ``PER_BLOCK``
-rules and is computed once as a scalar; everything is built-in functions.
+which drops the false positives. The filter is a table with a row per block, one block for each
+``PER_BLOCK`` rules, joined to the probes by the number of the block; it is written once, so its size
+is known and a small one is sent to all tasks. Everything is built-in functions.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakefold.llm.store import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8
 BITS = 4
 PER_BLOCK = 32
-MOST_BLOCKS = 1 << 16
 # The rules of the registered query, as (verdict, host, path prefix).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -31,8 +33,8 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _block(key: Column, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(key), blocks)
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks).cast("long"))
 
 
 def _bits(key: Column) -> list[Column]:
@@ -41,36 +43,29 @@ def _bits(key: Column) -> list[Column]:
     return [F.pmod(F.shiftrightunsigned(mixed, 13 * i), F.lit(64 * WORDS)).cast("int") for i in range(BITS)]
 
 
-def bloom_filter(keys: DataFrame) -> DataFrame:
-    """One row: ``blocks`` and ``bits``, a map from word number to 64 bits; empty words are left out."""
-    sized = keys.agg(
-        F.least(F.lit(MOST_BLOCKS), 1 + F.floor(F.count(F.lit(1)) / PER_BLOCK)).cast("long").alias("blocks")
-    )
-    blocks = sized.scalar()
-    placed = keys.select(
-        _block(F.col("key"), blocks).alias("block"), F.explode(F.array(*_bits(F.col("key")))).alias("bit"), blocks.alias("blocks")
-    )
-    words = placed.groupBy("blocks", (F.col("block") * WORDS + F.floor(F.col("bit") / 64)).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("bits")
-    )
-    return words.groupBy("blocks").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
-
-
-def _dense(words: Column, blocks: Column) -> Column:
-    """The filter as an array of longs, so that a probe is one access."""
-    lookup = F.map_from_entries(words)
-    return F.transform(F.sequence(F.lit(0).cast("long"), blocks * WORDS - 1), lambda w: F.coalesce(lookup[w], F.lit(0)))
+def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
+    """block and its ``WORDS`` words of 64 bits; blocks without a key are left out."""
+    placed = keys.select(_block(F.col("key"), blocks).alias("block"), F.explode(F.array(*_bits(F.col("key")))).alias("bit"))
+    mask = F.expr("shiftleft(1L, bit % 64)")
+    words = [F.coalesce(F.bit_or(F.when(F.expr("bit div 64") == w, mask)), F.lit(0).cast("long")) for w in range(WORDS)]
+    return placed.groupBy("block").agg(F.array(*words).alias("words"))
 
 
-def _may_contain(bits: Column, blocks: Column, key: Column) -> Column:
-    block = _block(key, blocks) * WORDS
+def _may_contain(words: Column, key: Column) -> Column:
     found = F.lit(True)
     for bit in _bits(key):
-        word = F.get(bits, (block + F.floor(bit / 64)).cast("int"))
+        word = F.get(words, F.floor(bit / 64).cast("int"))
         found = found & (F.getbit(word, F.pmod(bit, F.lit(64))) == 1)
     return found
 
 
+def possible(asked: DataFrame, keys: DataFrame, blocks: int) -> DataFrame:
+    """Rows of ``asked`` whose ``key`` the filter of ``keys`` may contain."""
+    bits = stored(bloom_filter(keys, blocks), "url-filter")
+    met = asked.withColumn("block", _block(F.col("key"), blocks)).join(bits, "block")
+    return met.where(_may_contain(F.col("words"), F.col("key"))).select(*asked.columns)
+
+
 def probes(at: DataFrame, lengths: Column) -> DataFrame:
     """host, path, key: each suffix of the host with each prefix of the path of the listed lengths."""
     suffixes = at.select("host", "path", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("_labels"))
@@ -97,15 +92,14 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
         .groupBy(F.concat(F.translate("host", UPPER, LOWER), "path").alias("key"))
         .agg(F.max("verdict").alias("verdict"), F.length(F.first("path")).alias("length"))
     )
+    listed = stored(listed, "url-rules")
     lengths = listed.agg(F.collect_set("length").alias("lengths")).scalar()
-    filtered = bloom_filter(listed.select("key"))
-    dense = filtered.select(_dense(F.col("words"), F.col("blocks"))).scalar()
-    blocks = filtered.select("blocks").scalar()
+    blocks = 1 + listed.count() // PER_BLOCK
     at = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    asked = probes(at.where("path <> ''"), lengths).where(_may_contain(dense, blocks, F.col("key"))).distinct()
+    asked = possible(probes(at.where("path <> ''"), lengths), listed.select("key"), blocks).distinct()
     # What the filter passes is judged once per distinct host and path and joined back.
     hits = (
-        asked.join(listed.hint("shuffle_hash"), "key")
+        asked.join(listed, "key")
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("hit"))
     )
