@@ -90,22 +90,30 @@ class Encoder:
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [self._pieces(t) for t in texts]
-        unknown = set().union(*(c for c in cut if isinstance(c, list))) - self.known.keys()
-        if len(self.known) + len(unknown) > REMEMBERED:
-            self.known.clear()
-            unknown = set().union(*(c for c in cut if isinstance(c, list)))
-        if unknown:
+        out: list[bytes | None] = [self._joined(c) if isinstance(c, list) else c for c in cut]
+        open_ = [i for i, ids in enumerate(out) if ids is None]
+        if open_:
+            unknown = set().union(*(cut[i] for i in open_)) - self.known.keys()
+            if len(self.known) + len(unknown) > REMEMBERED:
+                self.known.clear()
+                unknown = set().union(*(cut[i] for i in open_))
             self._learn(list(unknown))
-        known = self.known
-        return [
-            np.frombuffer(b"".join([known[p] for p in c]) if isinstance(c, list) else c, np.uint16) for c in cut
-        ]
+            for i in open_:
+                out[i] = self._joined(cut[i])
+        return [np.frombuffer(ids, np.uint16) for ids in out]
+
+    def _joined(self, pieces: list[str]) -> bytes | None:
+        """Ids of the pieces; None where one is not known yet."""
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            return None
 
     def _pieces(self, text: str | None) -> list[str] | bytes:
         """The pieces of a text; its ids where the pattern is not restated."""
         if not text:
             return []
-        if _OUTSIDE.search(text):
+        if not text.isascii() and _OUTSIDE.search(text):
             return self._library([text])[0]
         return self.find(text.lower() if self.lower else text)
 
