@@ -42,12 +42,11 @@ def svm(max_iterations: int = 20, regularization: float = 0.0) -> Estimator:
 def forest(trees: int = 100, depth: int | None = None, seed: int = 42) -> Estimator:
     """Trees are 5 deep when no depth is given; ``UNLIMITED_DEPTH`` for as deep as MLlib builds them.
 
-    Each row keeps the node it is in, so a level costs a lookup and not a walk from the root, and a
-    level's nodes fit one pass.
+    In deep forests each row keeps the node it is in, so a level costs a lookup and not a walk from the
+    root, and a level's nodes fit one pass.
     """
-    return RandomForestClassifier(
-        labelCol="label", numTrees=trees, maxDepth=depth or 5, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024
-    )
+    deep = {"cacheNodeIds": True, "maxMemoryInMB": 1024} if (depth or 5) > 10 else {}
+    return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth or 5, seed=seed, **deep)
 
 
 def usable_features(train: DataFrame, features: list[str]) -> list[str]:
