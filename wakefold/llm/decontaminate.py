@@ -3,111 +3,231 @@
 Benchmark items are read in blocks of bounded size. The hashes of all runs of ``least`` tokens of a
 block go to every task; a document that shares one is tiled against the item it came from: the
 longest unmarked common run is marked in both, again and again, until none of ``least`` tokens is
-left. Runs are met by rolling hashes of ``least`` tokens and confirmed token by token. Tiles may lie
+left. Runs are met by rolling hashes of falling length and confirmed token by token. Tiles may lie
 in any order, so reordered passages count. A document is contaminated when its tiles cover enough
-of an item.
+of an item. An item of fewer tokens than ``least`` is met by its whole sequence only.
+
+Memory is linear in the item and the document, also where one token is repeated all over both.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import sys
+import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakefold.llm.store import document_key, in_tasks
-from wakefold.llm.textcore import IS_PUNCTUATION, Words, gram_hashes, slices
+from wakefold.llm.store import document_key, in_tasks, stored
+from wakefold.llm.textcore import IS_PUNCTUATION, LOWER, Slice, gram_hashes, prefix_hashes, range_hashes, slices
 
 BLOCK_BYTES = 16 << 20
 _SCHEMA = "k1 long, k2 long, item_id long, tiled long, item_tokens long, n_tiles long"
 
+# Scripts written without blanks (first and last code point); each character is a token.
+UNSPACED = [
+    (0x0E00, 0x0EFF),  # Thai, Lao
+    (0x1000, 0x109F),  # Myanmar
+    (0x1780, 0x17FF),  # Khmer
+    (0x3005, 0x3007),  # ideographic marks
+    (0x3040, 0x30FF),  # kana
+    (0x31F0, 0x31FF),  # small kana
+    (0x3400, 0x4DBF),  # ideographs
+    (0x4E00, 0x9FFF),  # ideographs
+    (0xF900, 0xFAFF),  # ideographs
+    (0xFF66, 0xFF9F),  # narrow kana
+    (0x20000, 0x3FFFF),  # ideographs
+]
+_APART, _ALONE = 1, 2
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Per code point: 0 for a character of a word, or whether it parts words or is a word alone."""
+    kinds = np.fromiter(
+        (unicodedata.category(chr(c))[0] in "PSZC" for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1
+    )
+    kinds[:128] = IS_PUNCTUATION[:128]
+    for first, last in UNSPACED:
+        part = kinds[first : last + 1]
+        part[part == 0] = _ALONE
+    return kinds
+
+
+def _byte_kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of the character each byte of UTF-8 text belongs to."""
+    kinds = IS_PUNCTUATION[data].astype(np.uint8)
+    if not (data >= 128).any():
+        return kinds
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    at = np.flatnonzero((data & 0xC0) == 0xC0)
+    lead = data[at]
+    more = 1 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+    code = lead & (0x3F >> more)
+    for k in range(1, 4):
+        code = np.where(more >= k, code << 6 | (padded[at + k] & 0x3F), code)
+    kind = _kinds()[np.minimum(code, sys.maxunicode)]
+    kinds[at] = kind
+    for k in range(1, 4):
+        rest = (more >= k) & ((padded[at + k] & 0xC0) == 0x80)
+        kinds[at[rest] + k] = kind[rest]
+    return kinds
+
+
+class Tokens:
+    """Tokens of a slice: the text each belongs to, a 64-bit hash, bounds per text.
+
+    A token is a run of letters, marks and digits, A-Z in lower case, or one character of a script
+    that is written without blanks.
+    """
+
+    def __init__(self, piece: Slice):
+        data = LOWER[piece.data]
+        kinds = _byte_kinds(data)
+        inside = kinds != _APART
+        heads = (data & 0xC0) != 0x80
+        first = np.zeros(len(data) + 1, bool)
+        first[piece.starts] = True
+        alone = kinds == _ALONE
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | first[1:-1] | (heads[1:] & (alone[1:] | alone[:-1]))
+        begin = np.flatnonzero(begins)
+        stops = np.ones(len(data) + 1, bool)
+        stops[:-1] = begins | ~inside | first[:-1]
+        places = np.flatnonzero(stops)
+        end = places[np.searchsorted(places, begin, "right")] if len(begin) else begin
+        self.doc = np.searchsorted(piece.starts, begin, "right") - 1
+        self.hash = range_hashes(prefix_hashes(data), begin, end)
+        #: bounds[i], bounds[i + 1]: the tokens of text i
+        self.bounds = np.searchsorted(self.doc, np.arange(len(piece) + 1))
+
+
+def _near(tokens: np.ndarray, seeds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of tokens in runs with a seed's hash and one place after each stretch; which tokens are in such runs."""
+    edge = np.zeros(len(tokens) + 1, np.int64)
+    hit = np.flatnonzero(np.isin(gram_hashes(tokens, least), seeds))
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + least, -1)
+    covered = np.cumsum(edge)[:-1] > 0
+    after = covered.copy()
+    after[1:] |= covered[:-1]
+    return np.flatnonzero(after), covered
+
 
 def tiles(item: np.ndarray, document: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(start in item, start in document, length) of the greedy tiling, in the order of marking."""
-    grams = gram_hashes(item, least)
-    places = defaultdict(list)
-    for at, h in enumerate(gram_hashes(document, least).tolist()):
-        places[h].append(at)
-    seeds = [(i, j) for i, h in enumerate(grams.tolist()) for j in places.get(h, ())]
-    starts = set(seeds)
-    free_item, free_doc = np.ones(len(item), bool), np.ones(len(document), bool)
-
-    def reach(i: int, j: int) -> int:
-        n = min(len(item) - i, len(document) - j)
-        stop = (item[i : i + n] != document[j : j + n]) | ~free_item[i : i + n] | ~free_doc[j : j + n]
-        return int(np.argmax(stop)) if stop.any() else n
-
-    # Lengths only shrink as tokens are marked, so a stale length is measured again when its turn comes.
-    heads = [(i, j) for i, j in seeds if (i - 1, j - 1) not in starts]
-    queue = defaultdict(list)
-    for i, j in heads:
-        queue[reach(i, j)].append((i, j))
+    """(start in item, start in document, length) of the greedy tiling, in the order of marking.
+
+    Of equally long runs the one first in the item, then first in the document, is marked first.
+    """
+    if len(item) < least or len(document) < least or least < 1:
+        return []
+    # Document tokens outside all shared seeds cannot be in a tile; one stays between stretches, marked.
+    place, covered = _near(document, np.unique(gram_hashes(item, least)), least)
+    if not len(place):
+        return []
+    text, free_text, free_item = document[place], covered[place], np.ones(len(item), bool)
+    sums_item, sums_text = prefix_hashes(item), prefix_hashes(text)
+
+    def windows(free: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the unmarked runs of a length, and their hashes."""
+        marked = np.concatenate([[0], np.cumsum(~free)])
+        starts = np.flatnonzero(marked[length:] == marked[:-length])
+        return starts, range_hashes(sums, starts, starts + length)
+
+    def shared(length: int) -> bool:
+        return bool(np.isin(windows(free_item, sums_item, length)[1], windows(free_text, sums_text, length)[1]).any())
+
     found = []
-    while queue:
-        length = max(queue)
-        for i, j in sorted(queue.pop(length)):
-            now = reach(i, j)
-            if now == length and now >= least:
-                free_item[i : i + now] = False
-                free_doc[j : j + now] = False
-                found.append((i, j, now))
+    most = min(len(item), len(text))
+    while most >= least:
+        # If a run of some length is shared, so is one of every smaller length.
+        low, high = least - 1, most
+        if shared(high):
+            low = high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if shared(middle) else (low, middle)
+        length = low
+        if length < least:
+            break
+        starts, hashes = windows(free_item, sums_item, length)
+        places, others = windows(free_text, sums_text, length)
+        order = np.argsort(others, kind="stable")
+        others, places = others[order], places[order]
+        for i, h in zip(starts.tolist(), hashes, strict=True):
+            if not free_item[i : i + length].all():
                 continue
-            # A marked stretch in between parts the run; what follows it is a run of its own.
-            if now >= least:
-                queue[now].append((i, j))
-            at = now + 1
-            while at + least <= length:
-                rest = reach(i + at, j + at)
-                if rest >= least:
-                    queue[min(rest, length)].append((i + at, j + at))
-                at += rest + 1
+            at, upto = np.searchsorted(others, h, "left"), np.searchsorted(others, h, "right")
+            while at < upto:
+                j = int(places[at])
+                taken = np.flatnonzero(~free_text[j : j + length])
+                if len(taken):
+                    at += np.searchsorted(places[at:upto], j + taken[-1] + 1)
+                elif (item[i : i + length] == text[j : j + length]).all():
+                    free_item[i : i + length] = False
+                    free_text[j : j + length] = False
+                    found.append((i, int(place[j]), length))
+                    break
+                else:
+                    at += 1
+        most = length - 1
     return found
 
 
 class _Block:
-    """Items of one block: token hashes and the items behind each seed hash."""
+    """Items of one block: token hashes and, per seed length, the items behind each seed hash."""
 
     def __init__(self, ids: list, texts: list, least: int):
         self.items: list[tuple[int, np.ndarray]] = []
-        hashes, owners = [], []
+        hashes: dict[int, list] = {}
+        owners: dict[int, list] = {}
         for piece in slices(pa.array(texts, pa.string())):
-            words = Words(piece, IS_PUNCTUATION)
+            words = Tokens(piece)
             for i in range(len(piece)):
                 tokens = words.hash[words.bounds[i] : words.bounds[i + 1]]
-                seeds = np.unique(gram_hashes(tokens, min(least, len(tokens)) or 1))
-                hashes.append(seeds if len(tokens) >= least else seeds[:0])
-                owners.append(np.full(len(hashes[-1]), len(self.items)))
+                n = min(least, len(tokens))
+                if n:
+                    seeds = np.unique(gram_hashes(tokens, n))
+                    hashes.setdefault(n, []).append(seeds)
+                    owners.setdefault(n, []).append(np.full(len(seeds), len(self.items)))
                 self.items.append((ids[piece.first + i], tokens))
-        joined = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(joined, kind="stable")
-        self.hashes = joined[order]
-        self.owners = np.concatenate(owners)[order] if owners else np.zeros(0, np.int64)
+        self.seeds = {}
+        for n, parts in sorted(hashes.items()):
+            joined = np.concatenate(parts)
+            order = np.argsort(joined, kind="stable")
+            self.seeds[n] = joined[order], np.concatenate(owners[n])[order]
 
 
 def _tiler(shared, least: int):
+    def met(block: _Block, words: Tokens) -> Iterator[tuple[int, int]]:
+        """(text, item) where both hold a seed."""
+        for n, (hashes, owners) in block.seeds.items():
+            grams = gram_hashes(words.hash, n)
+            if not len(grams):
+                continue
+            at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+            inside = words.doc[: len(grams)] == words.doc[n - 1 :]
+            hit = np.flatnonzero((hashes[at] == grams) & inside)
+            # Each seed once per text, however often the text repeats it.
+            once = np.unique(np.stack([words.doc[hit], at[hit]]), axis=1)
+            last = np.searchsorted(hashes, hashes[once[1]], "right")
+            for doc, begin, end in zip(*once.tolist(), last.tolist(), strict=True):
+                yield from ((doc, owner) for owner in owners[begin:end].tolist())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
             for piece in slices(batch.column(2)):
-                words = Words(piece, IS_PUNCTUATION)
-                grams = gram_hashes(words.hash, least)
-                if not len(grams) or not len(block.hashes):
-                    continue
-                at = np.minimum(np.searchsorted(block.hashes, grams), len(block.hashes) - 1)
-                inside = words.doc[: len(grams)] == words.doc[least - 1 :]
-                hit = np.flatnonzero((block.hashes[at] == grams) & inside)
-                pairs = set()
-                for k in hit:
-                    last = np.searchsorted(block.hashes, grams[k], "right")
-                    pairs.update((int(words.doc[k]), int(o)) for o in block.owners[at[k] : last])
+                words = Tokens(piece)
                 out = []
-                for doc, owner in sorted(pairs):
+                for doc, owner in sorted(set(met(block, words))):
                     item_id, tokens = block.items[owner]
-                    found = tiles(tokens, words.hash[words.bounds[doc] : words.bounds[doc + 1]], least)
+                    document = words.hash[words.bounds[doc] : words.bounds[doc + 1]]
+                    found = tiles(tokens, document, min(least, len(tokens)))
                     row = piece.first + doc
                     k1, k2 = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                     out.append((k1, k2, item_id, sum(t[2] for t in found), len(tokens), len(found)))
@@ -120,22 +240,27 @@ def _tiler(shared, least: int):
     return run
 
 
-def tiled_items(documents: DataFrame, benchmark: DataFrame, least: int = 5) -> DataFrame:
+def tiled_items(documents: DataFrame, benchmark: DataFrame, least: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document (k1, k2 of ``document_key``) and item that share a run of tokens.
 
-    Tokens are runs of letters and digits, A-Z in lower case, so case and punctuation do not count.
-    Items of fewer than ``least`` tokens and null texts match nothing.
+    Tokens are those of ``Tokens``, so case and punctuation do not count. Items of fewer than ``least``
+    tokens must occur as a whole; items without tokens and null texts match nothing. Of several blocks
+    of items one at a time is at the driver and in the tasks: its result is stored before the next.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 + total // BLOCK_BYTES
+    blocks = 1 + total // block_bytes
     texts = documents.select(*document_key(), "text")
     parts = []
     for number in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).collect()
-        block = _Block([r.item_id for r in rows], [r.text for r in rows], least)
-        parts.append(in_tasks(texts, _tiler(spark.sparkContext.broadcast(block), least), _SCHEMA))
+        shared = spark.sparkContext.broadcast(_Block([r.item_id for r in rows], [r.text for r in rows], least))
+        part = in_tasks(texts, _tiler(shared, least), _SCHEMA)
+        if blocks > 1:
+            part = stored(part, "tiled-items")
+            shared.destroy()
+        parts.append(part)
     return reduce(DataFrame.union, parts)
 
 
