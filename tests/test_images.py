@@ -5,6 +5,7 @@ from compare import compare, oracle_connection
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from wakefold.operators import raster
 from wakefold.operators.tracks import trajectory_arrays
 from wakefold.plans import tables
 
@@ -36,3 +37,9 @@ def test_image_folders_hold_every_trajectory(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     rows = __spark_entry__.queries()["raster_dataset"](spark, str(tmp_path)).collect()
     assert rows and {r["images"] for r in rows} == {803}
+
+
+def test_lines_of_a_long_trajectory_are_dealt_apart(spark, monkeypatch):
+    name = "trajectory_raster"
+    monkeypatch.setattr(raster, "LINES_PER_SHARE", 2)
+    assert compare(__spark_entry__.queries()[name](spark, FOLDER), oracle_connection(FOLDER), __spark_entry__.oracle_sql()[name]) == []
