@@ -56,7 +56,7 @@ def test_matches_oracle_on_skewed_events(spark, skewed, name):
     assert compare(QUERIES[name](spark, folder), connection, ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", ["bucket_size_estimate", "raster_manifest", "objective_history", "model_roundtrip"])
+@pytest.mark.parametrize("name", ["raster_dataset", "objective_history", "model_roundtrip"])
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 

@@ -92,6 +92,32 @@ def profile_summary(frame: DataFrame, columns: list[str] | None = None) -> DataF
     return long.select("column", "count", "mean", "std", "min", *quartile, "max")
 
 
+def profile_columns(frame: DataFrame) -> DataFrame:
+    """Shape, types and extremes of all columns: one row per column with type, rows, present values, least and greatest.
+
+    Extremes are those of the column's own type, as text; nested columns have none.
+    """
+    plain = [f.name for f in frame.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    aggregates = [F.count(F.lit(1)).alias("rows")]
+    for at, name in enumerate(frame.columns):
+        value = F.col(f"`{name}`")
+        aggregates.append(F.count(value).alias(f"{at}#count"))
+        for what, fold in (("min", F.min), ("max", F.max)):
+            edge = fold(value).cast("string") if name in plain else F.lit(None).cast("string")
+            aggregates.append(edge.alias(f"{at}#{what}"))
+    rows = [
+        F.struct(
+            F.lit(field.name).alias("column"),
+            F.lit(at).cast("long").alias("position"),
+            F.lit(field.dataType.simpleString()).alias("type"),
+            F.col("rows"),
+            *[F.col(f"{at}#{what}").alias(what) for what in ("count", "min", "max")],
+        )
+        for at, field in enumerate(frame.schema.fields)
+    ]
+    return frame.agg(*aggregates).select(F.inline(F.array(*rows)))
+
+
 def label_counts(frame: DataFrame, label: str, labels: list[str]) -> DataFrame:
     """Rows per listed label; zero where a label is absent."""
     spark = frame.sparkSession

@@ -10,6 +10,8 @@ from wakefold.plans.registry import Topic
 from wakefold.plans.sampling import MODEL_SQL, labelled_features
 from wakefold.plans.tables import Tables, sql_with
 from wakefold.schemas import FEATURES, LABELS
+from wakefold.sources import writers
+from wakefold.sources.shared import new_path
 
 topic = Topic()
 
@@ -70,6 +72,24 @@ def profile_summary(t: Tables) -> DataFrame:
     return summary.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
+_COLUMN_TYPES = {
+    "FluentName": "string", "MMSI": "string", "Argument": "string", "Value": "string", "T_start": "bigint", "T_end": "bigint",
+}
+
+
+@topic.query(
+    "profile_columns",
+    sql_with("labels_raw")
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", {at}::BIGINT AS position, '{kind}' AS type, count(*) AS rows, count({c}) AS count,
+            CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max FROM labels_raw"""
+        for at, (c, kind) in enumerate(_COLUMN_TYPES.items())
+    ),
+)
+def profile_columns(t: Tables) -> DataFrame:
+    return profiling.profile_columns(t.label_rows.select(*_COLUMN_TYPES))
+
+
 @topic.query(
     "label_counts",
     sql_with("label_events")
@@ -115,6 +135,16 @@ def feature_stats(t: Tables) -> DataFrame:
     )
 
 
+@topic.query(
+    "stats_json", MODEL_SQL + _union("SELECT '{c}' AS feature, " + _STATS + " FROM model", FEATURES)
+)
+def stats_json(t: Tables) -> DataFrame:
+    """Feature statistics as the JSON file that goes with a model, read back."""
+    found, path = feature_stats(t), new_path(t.spark, "stats")
+    writers.write_json(found, path)
+    return t.spark.read.schema(found.schema).json(path)
+
+
 @topic.query(
     "zero_variance",
     MODEL_SQL
@@ -228,3 +258,20 @@ def classification_metrics(t: Tables) -> DataFrame:
 def metrics_long(t: Tables) -> DataFrame:
     report = profiling.classification_metrics(_confusion(t), LABELS)
     return profiling.metrics_long(report, F.lit("rule"), F.lit(7)).withColumn("value", F.round("value", 6))
+
+
+@topic.query(
+    "metrics_log",
+    MODEL_SQL.rstrip()
+    + _REPORT_SQL
+    + """ SELECT run, 'rule_' || scope || '_' || metric AS metric, round(value, 6) AS value, step
+          FROM report, (VALUES ('first', 1::BIGINT), ('second', 3::BIGINT)) r(run, step)""",
+)
+def metrics_log(t: Tables) -> DataFrame:
+    """Two runs appended to a metric log; the second is logged again, as after a retry, and is in it once."""
+    path = new_path(t.spark, "metric-log")
+    report = profiling.classification_metrics(_confusion(t), LABELS)
+    for run, step in (("first", 1), ("second", 2), ("second", 3)):
+        writers.append_metrics(profiling.metrics_long(report, F.lit("rule"), F.lit(step)), path, run)
+    log = t.spark.read.schema("metric string, value double, step long, run string").parquet(path)
+    return log.withColumn("value", F.round("value", 6))

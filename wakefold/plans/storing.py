@@ -35,6 +35,27 @@ def csv_roundtrip(t: Tables) -> DataFrame:
     return back.select("event_index", "id", "behavior_type_label", "n_points", cells.alias("cog_cells"))
 
 
+@topic.query(
+    "single_csv",
+    sql_with("spans")
+    + """SELECT Category AS behavior_type_label, count(*) AS trajectories, CAST(sum(n_points) AS BIGINT) AS points,
+                min(traj_start_ms) AS first_ms, max(traj_end_ms) AS last_ms, 1::BIGINT AS files FROM spans GROUP BY ALL""",
+)
+def single_csv(t: Tables) -> DataFrame:
+    """The summary of the stored trajectories per label as one CSV file, read back with the number of files."""
+    summary = t.spans.groupBy(F.col("Category").alias("behavior_type_label")).agg(
+        F.count(F.lit(1)).alias("trajectories"),
+        F.sum("n_points").alias("points"),
+        F.min("traj_start_ms").alias("first_ms"),
+        F.max("traj_end_ms").alias("last_ms"),
+    )
+    path = new_path(t.spark, "single-csv")
+    writers.write_csv(summary, path, single=True)
+    back = t.spark.read.schema(summary.schema).option("header", True).csv(path)
+    files = back.agg(F.count_distinct("_metadata.file_name")).scalar()
+    return back.withColumn("files", files)
+
+
 _BUCKET = "CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % {n}"
 
 
@@ -64,9 +85,15 @@ def hash_bucket_sample(t: Tables) -> DataFrame:
     return writers.bucket_sample(lines, "l_orderkey", 400, 10)
 
 
-@topic.query("bucket_size_estimate")
+@topic.query(
+    "bucket_size_estimate",
+    f"""SELECT {_BUCKET.format(n=16)} AS bucket, CAST(round(count(*) / 0.2e0) AS BIGINT) AS estimated_rows FROM lineitem
+        WHERE CAST('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber), 1, 8) AS BIGINT) < 0.2e0 * 4294967296
+        GROUP BY ALL""",
+)
 def bucket_size_estimate(t: Tables) -> DataFrame:
-    return writers.bucket_size_estimate(t.read("lineitem"), "l_orderkey", 16, 0.2)
+    lines = t.read("lineitem").select("l_orderkey", "l_linenumber")
+    return writers.bucket_size_estimate(lines, "l_orderkey", 16, 0.2, row_key=["l_orderkey", "l_linenumber"])
 
 
 @topic.query(

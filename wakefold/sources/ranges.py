@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,20 @@ def range_count(parallelism: int, lowest: int = 8, highest: int = 1000) -> int:
     return min(highest, max(lowest, 2 * parallelism))
 
 
+_NAMED = re.compile(r"(?is)(.+)\s+as\s+(\w+)\s*")
+
+
+def column_name(column: str) -> str:
+    """The name of a column or of ``expression AS name``."""
+    named = _NAMED.fullmatch(column)
+    return named[2] if named else column
+
+
+def _selected(column: str) -> str:
+    named = _NAMED.fullmatch(column)
+    return f'{named[1].strip()} AS "{named[2]}"' if named else f'"{column}"'
+
+
 def jdbc_options(
     url: str,
     table: str,
@@ -23,11 +39,12 @@ def jdbc_options(
 ) -> dict[str, str]:
     """Options of a partitioned JDBC read; without bounds it is a single read.
 
-    The key is read along for partitioning even if it was not asked for.
+    A column is a name or ``expression AS name``; an expression is computed by the database. The key
+    is read along for partitioning even if it was not asked for.
     """
     if columns:
-        wanted = [*columns, key] if bounds and key not in columns else columns
-        listed = ", ".join(f'"{c}"' for c in wanted)
+        wanted = [*columns, key] if bounds and key not in map(column_name, columns) else columns
+        listed = ", ".join(_selected(c) for c in wanted)
     else:
         listed = "*"
     condition = f" WHERE {where}" if where else ""
@@ -56,7 +73,7 @@ def read_jdbc(spark: SparkSession, columns: list[str] | None = None, key: str =
         low, high = spark.read.format("jdbc").options(**edges).load().first()
         kwargs["bounds"] = None if low is None else (int(low), int(high))
     frame = spark.read.format("jdbc").options(**jdbc_options(columns=columns, key=key, **kwargs)).load()
-    return frame.select(*columns) if columns else frame
+    return frame.select(*map(column_name, columns)) if columns else frame
 
 
 def key_range_scan(
