@@ -10,7 +10,7 @@ from llm.small import documents, prose
 
 from wakefold.llm import near_dedup
 from wakefold.llm.near_dedup import near_duplicates, without_near_copies
-from wakefold.llm.suffix_dedup import common_prefix, deep_shallow_sort, removed_bytes, without_repeats
+from wakefold.llm.suffix_dedup import HOT, common_prefix, deep_shallow_sort, removed_bytes, without_repeats
 
 
 @settings(max_examples=300, deadline=None)
@@ -36,18 +36,26 @@ def _cut(rows, length=200):
     return sorted(out, key=str)
 
 
-def test_removed_bytes_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [HOT, 2, 0])
+def test_removed_bytes_against_brute_force(spark, hot):
     a, b, c = prose(1, 120), prose(2, 150), prose(3, 90)
     rows = [(1, a), (2, a), (3, b + "é" + a[50:400] + c), (4, c[:260] + prose(4, 60) + b[100:420]), (5, None), (6, "")]
     rows += [(None, prose(5, 80)), (7, "ab" * 300), (8, "x" * 199), (9, prose(6, 30)), (9, a), (9, a), (None, "x" * 199)]
     rows += [(10 + k, prose(20 + k, 25) + b[:300] + prose(40 + k, 25)) for k in range(6)]
     docs = documents(spark, rows)
-    got = sorted((tuple(r) for r in removed_bytes(docs).collect()), key=str)
+    got = sorted((tuple(r) for r in removed_bytes(docs, hot=hot).collect()), key=str)
     assert got == _cut(rows)
     cut = without_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == len(rows)
 
 
+def test_passage_that_many_documents_share_is_split_alike(spark):
+    common = prose(1, 60)
+    rows = [(k, prose(100 + k, 12) + common[k % 3 :] + prose(300 + k, 12)) for k in range(60)]
+    got = sorted((tuple(r) for r in removed_bytes(documents(spark, rows), hot=10).collect()), key=str)
+    assert got == _cut(rows)
+
+
 def test_removed_bytes_of_empty_table(spark):
     assert removed_bytes(documents(spark, [])).count() == 0
 

@@ -9,7 +9,9 @@ common prefixes of neighbours give the nested groups that share the bytes to the
 anchor; sorting the reversed bytes to its left inside such a group tells which runs are repeated.
 
 Equal contexts are merged before the shuffle and counted, so copies of a document or the inside of
-a common passage cost one row per task.
+a common passage cost one row per task. The edge of a passage that very many documents share has as
+many contexts as documents: such an anchor is split by the offsets of its runs, each share dealt by
+the bytes that all its runs hold and without the bytes that none of them reach.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from wakefold.llm.textcore import U64, Slice, grouped, prefix_hashes, range_hash
 SEED = 48
 SHALLOW = 72
 PIECE = 8 << 20
+STEP = 8  # offsets that share a task where an anchor is split
+HOT = 20_000  # places from which on an anchor is split
+MERGED = 20_000  # distinct contexts a task holds before it passes them on
 _LOW = U64((1 << 24) - 1)
 
 
@@ -259,6 +264,26 @@ def _anchor_rows(length: int):
     return run
 
 
+def _shares(key: int, left: int, context: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """The context cut for runs of ``STEP`` neighbouring offsets at a time, each share with a hash of its own.
+
+    Runs at offsets a to b all hold the a bytes left of the anchor and the ``length`` - b bytes from it on, so
+    only contexts equal there can repeat them; bytes that none of these runs reach are left out.
+    """
+    right = len(context) - left
+    for a in range(0, length - SEED + 1, STEP):
+        b = min(a + STEP - 1, length - SEED)
+        if a <= left and b >= length - right:
+            common = context[left - a : left + length - b]
+            digest = blake2b(common, digest_size=8, salt=a.to_bytes(4, "little"), key=key.to_bytes(8, "little", signed=True))
+            kept = min(left, b)
+            yield (
+                int.from_bytes(digest.digest(), "little", signed=True),
+                kept,
+                context[left - kept : left + min(right, length - a)],
+            )
+
+
 def _contexts(length: int, wide: bool):
     """Contexts of the listed anchors: merged with their bytes, or one row for each place."""
 
@@ -269,32 +294,44 @@ def _contexts(length: int, wide: bool):
                 at, left = place["place"] >> 16, place["place"] >> 8 & 255
                 begin = at - left
                 context = text[begin : begin + (place["place"] & 255) + length]
-                digest = blake2b(context, digest_size=16, salt=left.to_bytes(4, "little")).digest()
-                yield i, at, place["hash"], digest, left, context
+                whole = [(place["hash"], left, context)]
+                for key, kept, part in _shares(*whole[0], length) if place["hot"] else whole:
+                    digest = blake2b(part, digest_size=16, salt=kept.to_bytes(4, "little")).digest()
+                    yield i, at, key, digest, kept, part
+
+    def counted(merged: dict[tuple, list]) -> pa.RecordBatch:
+        columns = [(h, d, *v) for (h, d), v in merged.items()]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+        return _batch(columns, ["hash", "digest", "left", "context", "copies"], kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged: dict[tuple, list] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 if wide:
-                    merged: dict[tuple, list] = {}
                     for _, _, h, digest, left, context in rows(part):
                         merged.setdefault((h, digest), [left, context, 0])[2] += 1
-                    columns = [(h, d, *v) for (h, d), v in merged.items()]
-                    names = ["hash", "digest", "left", "context", "copies"]
-                    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+                        if len(merged) >= MERGED:
+                            yield counted(merged)
+                            merged = {}
                 else:
                     k1, k2 = part.column(0).to_pylist(), part.column(1).to_pylist()
                     columns = [(k1[i], k2[i], at, h, digest) for i, at, h, digest, _, _ in rows(part)]
-                    names = ["k1", "k2", "at", "hash", "digest"]
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                if columns:
-                    arrays = [pa.array(c, k) for c, k in zip(zip(*columns, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    if columns:
+                        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                        yield _batch(columns, ["k1", "k2", "at", "hash", "digest"], kinds)
+        if merged:
+            yield counted(merged)
 
     return run
 
 
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def _range_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -366,9 +403,11 @@ def _cutter():
     return run
 
 
-def cut_documents(documents: DataFrame, length: int = 200) -> DataFrame:
+def cut_documents(documents: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
     """k1, k2, n_removed, n_spans, kept_sha256, kept_text of the documents that lose bytes.
 
+    An anchor found in more than ``hot`` places is split over tasks by its runs; results do not depend on it.
+
     k1 and k2 are ``document_key``; rows of equal id and text share one result. kept_text leaves out
     a character of which only some bytes are left.
     """
@@ -378,11 +417,12 @@ def cut_documents(documents: DataFrame, length: int = 200) -> DataFrame:
     texts = documents.select(*document_key(), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     # Millions of rows a gigabyte: a row is one key, one packed place and one hash.
     seeds = stored(in_tasks(texts.select(key, "text"), _anchor_rows(length), "key long, place long, hash long"), "anchors")
-    again = seeds.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("hash")
+    found = seeds.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = found.select("hash", (F.col("_n") > hot).alias("hot"))
     places = (
         seeds.join(again, "hash")
         .groupBy("key")
-        .agg(F.collect_set(F.struct("place", "hash")).alias("places"))
+        .agg(F.collect_set(F.struct("place", "hash", "hot")).alias("places"))
     )
     near = stored(texts.withColumn("key", key).join(places, "key").select("k1", "k2", "text", "places"), "contexts")
     contexts = in_tasks(near, _contexts(length, True), "hash long, digest binary, left int, context binary, copies long")
@@ -408,7 +448,7 @@ def cut_documents(documents: DataFrame, length: int = 200) -> DataFrame:
     return cut.dropDuplicates(["k1", "k2"])
 
 
-def removed_bytes(documents: DataFrame, length: int = 200) -> DataFrame:
+def removed_bytes(documents: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if some string of ``length`` bytes over it also starts elsewhere in the input,
@@ -419,7 +459,7 @@ def removed_bytes(documents: DataFrame, length: int = 200) -> DataFrame:
     base = documents.select(
         "doc_id", *document_key(), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("_whole")
     )
-    cut = cut_documents(documents, length).drop("kept_text")
+    cut = cut_documents(documents, length, hot).drop("kept_text")
     return base.join(cut, ["k1", "k2"], "left").select(
         "doc_id",
         "n_bytes",
