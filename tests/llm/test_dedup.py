@@ -10,7 +10,9 @@ from llm.small import documents, prose
 
 from wakefold.llm import near_dedup
 from wakefold.llm.near_dedup import near_duplicates, without_near_copies
-from wakefold.llm.suffix_dedup import HOT, common_prefix, deep_shallow_sort, removed_bytes, without_repeats
+from wakefold.llm.suffix_dedup import (
+    HOT, SEED, common_prefix, deep_shallow_sort, removed_bytes, repeated_offsets, without_repeats,
+)
 
 
 @settings(max_examples=300, deadline=None)
@@ -21,6 +23,26 @@ def test_deep_shallow_sort(strings, shallow):
     assert all(common[k] == common_prefix(strings[order[k - 1]], strings[order[k]]) for k in range(1, len(order)))
 
 
+@pytest.mark.parametrize("n", [2, 3, 7, 40, 120])
+def test_repeated_offsets_against_all_pairs(n):
+    random.seed(n)
+    core = bytes(random.choices(b"ab", k=160))
+    members = {}
+    for _ in range(n):
+        left = (core[: random.randint(0, 150)] + bytes(random.choices(b"ab", k=160)))[: random.randint(0, 152)]
+        right = b"s" * SEED + core[::-1][: random.randint(0, 150)] + bytes(random.choices(b"ab", k=260))
+        members[left, right[: max(SEED, 200 + random.randint(0, 152) - len(left))]] = random.choice([1, 1, 1, 2])
+    members = [(*sides, copies) for sides, copies in members.items()]
+    for (left, right, copies), ranges in zip(members, repeated_offsets(members, 200), strict=True):
+        others = [(l, r) for l, r, _ in members if (l, r) != (left, right)] + [(left, right)] * (copies > 1)
+        wanted = {
+            o
+            for l, r in others
+            for o in range(max(0, 200 - common_prefix(right, r)), common_prefix(left, l) + 1)
+        }
+        assert {o for low, high in ranges for o in range(low, high + 1)} == wanted
+
+
 def _cut(rows, length=200):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[k : k + length] for _, b in texts for k in range(len(b) - length + 1))

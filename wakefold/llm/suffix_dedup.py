@@ -182,19 +182,70 @@ def repeated_offsets(members: list[tuple[bytes, bytes, int]], length: int) -> li
     rights = [m[1] for m in members]
     same = len({r[:SEED] for r in rights}) == 1 and len(rights[0]) >= SEED
     order, common = deep_shallow_sort(rights, SEED if same else 0)
-    most = max(len(m[0]) for m in members)
-    for depth, first, last in nested_groups(common, length - most):
-        block = order[first:last]
-        lefts = [members[i][0] for i in block]
-        by_left, shared = deep_shallow_sort(lefts)
-        for at, k in enumerate(by_left):
-            best = max(shared[at] if at else 0, shared[at + 1] if at + 1 < len(by_left) else 0)
-            low = max(0, length - depth)
-            if best >= low:
-                found[block[k]].append((low, best))
+    lefts = [m[0] for m in members]
+    by_left, shared = deep_shallow_sort(lefts)
+    neighbours = _Neighbours(by_left, shared)
+    for depth, first, last in nested_groups(common, length - max(map(len, lefts))):
+        neighbours.add(order[first:last], max(0, length - depth))
+    for member, ranges in enumerate(neighbours.ranges()):
+        found[member].extend(ranges)
     return found
 
 
+class _Neighbours:
+    """Longest common prefixes to the left inside nested groups, from one sorted order of all lefts.
+
+    A group's members are brought into that order by their ranks. The prefix of two ranks is the least
+    one between them, read from minima over spans of powers of two. Groups come inner first, so a member's
+    offsets only grow and are kept as its last range.
+    """
+
+    def __init__(self, by_left: list[int], shared: list[int]):
+        self.by_left = np.array(by_left)
+        self.rank = np.empty(len(by_left), np.int64)
+        self.rank[self.by_left] = np.arange(len(by_left))
+        self.least = [np.array(shared)]
+        while 2 << len(self.least) - 1 <= len(shared):
+            last, half = self.least[-1], 1 << len(self.least) - 1
+            self.least.append(np.minimum(last[:-half], last[half:]))
+        self.low = np.full(len(by_left), -1)
+        self.high = np.full(len(by_left), -2)
+        self.closed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _prefixes(self, ranks: np.ndarray) -> np.ndarray:
+        first, last = ranks[:-1] + 1, ranks[1:]
+        level = np.frexp(last - first + 1)[1] - 1
+        out = np.empty(len(first), np.int64)
+        for k in np.unique(level):
+            at = level == k
+            out[at] = np.minimum(self.least[k][first[at]], self.least[k][last[at] - (1 << int(k)) + 1])
+        return out
+
+    def add(self, group: list[int], low: int) -> None:
+        """Offsets from ``low`` to each member's best prefix with another member of the group."""
+        ranks = np.sort(self.rank[group])
+        shared = self._prefixes(ranks)
+        best = np.zeros(len(ranks), np.int64)
+        best[:-1] = shared
+        best[1:] = np.maximum(best[1:], shared)
+        hit = best >= low
+        who, best = self.by_left[ranks[hit]], best[hit]
+        apart = low > self.high[who] + 1
+        done = who[apart & (self.low[who] >= 0)]
+        if len(done):
+            self.closed.append((done, self.low[done], self.high[done]))
+        self.low[who[apart]] = low
+        self.high[who] = np.maximum(self.high[who], best)
+
+    def ranges(self) -> list[list[tuple[int, int]]]:
+        found: list[list[tuple[int, int]]] = [[] for _ in self.rank]
+        ends = np.flatnonzero(self.low >= 0)
+        for who, low, high in (*self.closed, (ends, self.low[ends], self.high[ends])):
+            for member, *span in zip(who.tolist(), low.tolist(), high.tolist(), strict=True):
+                found[member].append(tuple(span))
+        return found
+
+
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """Least value of every window, by least values before and after block edges."""
     n = len(values)
