@@ -23,6 +23,7 @@ from wakefold.operators.profiling import (
 )
 from wakefold.operators.sampling import balanced_sample, kfold_assign, smallest_class, stratified_split
 from wakefold.schemas import FEATURES
+from wakefold.sources.shared import new_path
 
 LABEL = "behavior_type_label"
 KEY = "row_key"
@@ -84,8 +85,9 @@ def training_table(
     seed: int = 42,
     features: list[str] | None = None,
 ) -> DataFrame:
-    """Balanced, cleaned and split rows of the chosen labels, kept for repeated passes.
+    """Balanced, cleaned and split rows of the chosen labels, written once and kept for repeated passes.
 
+    Fits start from the written rows, so their tasks do not carry how the rows were made.
     Solvers run one job per iteration, so rows are packed into as many partitions as their
     number calls for; it is known from the class sizes.
     """
@@ -94,7 +96,9 @@ def training_table(
         per_label = smallest_class(table, LABEL, labels)
     sampled = balanced_sample(table.select(KEY, LABEL, *features), LABEL, KEY, labels, per_label, seed)
     split = clean_nonfinite(stratified_split(sampled, LABEL, KEY, test_size, seed), features)
-    return split.repartition(max(1, per_label * len(labels) // ROWS_PER_TASK), KEY).persist()
+    path = new_path(table.sparkSession, "training-rows")
+    split.repartition(max(1, per_label * len(labels) // ROWS_PER_TASK), KEY).write.parquet(path)
+    return table.sparkSession.read.parquet(path).persist()
 
 
 def _one_vs_rest_scores(model: OneVsRestModel, rows: DataFrame) -> DataFrame:
