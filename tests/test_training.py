@@ -1,5 +1,7 @@
 """Registered training runs with the reference's settings; forest curves score the first trees."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from wakefold.ml import trainers
@@ -73,3 +75,42 @@ def test_fold_models_are_fitted_once_and_shared(spark, monkeypatch, tmp_path):
     mean = {(r["scope"], r["metric"]): r["value"] for r in curve.where("step = 6").collect()}
     whole = {r["metric"]: r["value"] for r in trained.metrics.collect()}
     assert mean and any(abs(v - w) < 1e-9 for v in mean.values() for w in whole.values())
+
+
+def _labelled(spark, labels):
+    rows = [(f"{label}{i}", label, float((i * 7) % 23 + 3 * n), float((i + n) % 5)) for n, label in enumerate(labels) for i in range(60)]
+    return spark.createDataFrame(rows, "row_key string, behavior_type_label string, x double, y double")
+
+
+def test_solver_starts_from_packed_vectors(spark, monkeypatch):
+    labels, features = ["A", "B", "C"], ["x", "y"]
+    table = _labelled(spark, labels).repartition(4, "row_key").persist()
+    seen = []
+    fit = trainers.OneVsRest.fit
+    monkeypatch.setattr(trainers.OneVsRest, "fit", lambda self, rows, *a: seen.append(rows) or fit(self, rows, *a))
+    build = trainers.pipeline(trainers.svm(5, 0.1), features, labels)
+    trainers.fitted(build, table)
+    assert seen[0].columns == ["features", "label"] and seen[0].rdd.getNumPartitions() == 1
+    table = table.coalesce(1).persist()
+    model, plain = trainers.fitted(build, table), build.fit(table)
+    packed, whole = (
+        {r["row_key"]: r["predicted"] for r in trainers.score(m, table).collect()} for m in (model, plain)
+    )
+    assert packed == whole and len(model.stages) == len(plain.stages)
+
+
+def test_large_fits_run_one_after_another(spark, monkeypatch):
+    table = _labelled(spark, ["A", "B"])
+    running, most = [], []
+
+    def work(k):
+        running.append(k)
+        most.append(len(running))
+        time.sleep(0.1)
+        running.remove(k)
+        return k
+
+    assert trainers.at_once(work, range(4), table) == [0, 1, 2, 3] and max(most) > 1
+    most.clear()
+    monkeypatch.setattr(trainers, "ROWS_PER_TASK", 10)
+    assert trainers.at_once(work, range(4), table) == [0, 1, 2, 3] and max(most) == 1
