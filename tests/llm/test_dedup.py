@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from llm.small import documents, prose
 from wakefold.llm import near_dedup
 from wakefold.llm.near_dedup import near_duplicates, without_near_copies
 from wakefold.llm.suffix_dedup import (
-    HOT, SEED, common_prefix, deep_shallow_sort, removed_bytes, repeated_offsets, without_repeats,
+    HOT, SEED, _contexts, common_prefix, deep_shallow_sort, removed_bytes, repeated_offsets, without_repeats,
 )
 
 
@@ -179,3 +180,18 @@ def test_rows_that_share_an_id_are_not_copies(spark):
     kept = Counter((r.doc_id, r.text) for r in got.collect())
     assert kept == Counter([(1, a), (1, b), (3, c), (None, c), (None, c), (5, ""), (5, None)])
     assert without_near_copies(documents(spark, [])).count() == 0
+
+
+def test_places_of_a_context_are_joined_as_one_row(spark):
+    shared = prose(3, 80)
+    rows = [(k, f"{prose(50 + k, 30)} {shared} {prose(500 + k, 30)}") for k in range(40)]
+    texts = pa.record_batch(
+        [pa.array([i for i, _ in rows]), pa.array([0] * 40), pa.array([t.encode() for _, t in rows])], names=["k1", "k2", "text"]
+    )
+    begin = [t.index(shared) + 200 for _, t in rows]
+    places = pa.array([[{"place": b << 16, "hash": 7, "hot": False}] for b in begin])
+    found = list(_contexts(200, False)(iter([texts.append_column("places", places)])))
+    assert sum(b.num_rows for b in found) == 1
+    assert [(p["k1"], p["at"]) for p in found[0].column(2)[0].as_py()] == list(enumerate(begin))
+    for hot in (HOT, 10):
+        assert sorted((tuple(r) for r in removed_bytes(documents(spark, rows), hot=hot).collect()), key=str) == _cut(rows)

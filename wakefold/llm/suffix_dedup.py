@@ -33,6 +33,7 @@ PIECE = 8 << 20
 STEP = 8  # offsets that share a task where an anchor is split
 HOT = 20_000  # places from which on an anchor is split
 MERGED = 20_000  # distinct contexts a task holds before it passes them on
+SAME = 4_096  # places of one context that travel in a row
 _LOW = U64((1 << 24) - 1)
 
 
@@ -336,7 +337,7 @@ def _shares(key: int, left: int, context: bytes, length: int) -> Iterator[tuple[
 
 
 def _contexts(length: int, wide: bool):
-    """Contexts of the listed anchors: merged with their bytes, or one row for each place."""
+    """Contexts of the listed anchors, merged: with their bytes, or with the places that hold them."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         for i in range(batch.num_rows):
@@ -368,10 +369,11 @@ def _contexts(length: int, wide: bool):
                             merged = {}
                 else:
                     k1, k2 = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    columns = [(k1[i], k2[i], at, h, digest) for i, at, h, digest, _, _ in rows(part)]
-                    if columns:
-                        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                        yield _batch(columns, ["k1", "k2", "at", "hash", "digest"], kinds)
+                    held: dict[tuple, list] = {}
+                    for i, at, h, digest, _, _ in rows(part):
+                        held.setdefault((h, digest), []).append((k1[i], k2[i], at))
+                    if held:
+                        yield _held(held)
         if merged:
             yield counted(merged)
 
@@ -383,6 +385,21 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def _held(held: dict[tuple, list]) -> pa.RecordBatch:
+    """A row per context with the places that hold it, at most ``SAME`` in one."""
+    parts = [(h, d, v[a : a + SAME]) for (h, d), v in held.items() for a in range(0, len(v), SAME)]
+    hashes, digests, places = zip(*parts, strict=True)
+    ends = np.cumsum([0, *map(len, places)], dtype=np.int32)
+    k1, k2, at = zip(*(p for v in places for p in v), strict=True)
+    structs = pa.StructArray.from_arrays(
+        [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int32())], names=["k1", "k2", "at"]
+    )
+    return pa.RecordBatch.from_arrays(
+        [pa.array(hashes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), structs)],
+        names=["hash", "digest", "held"],
+    )
+
+
 def _range_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -482,11 +499,18 @@ def cut_documents(documents: DataFrame, length: int = 200, hot: int = HOT) -> Da
         _range_rows(length),
         "hash long, digest binary, low int, high int",
     )
-    at = in_tasks(near, _contexts(length, False), "k1 long, k2 long, at int, hash long, digest binary")
+    held = "hash long, digest binary, held array<struct<k1:long,k2:long,at:int>>"
+    at = in_tasks(near, _contexts(length, False), held)
+    # Places of a context are joined as one row and taken apart only when dealt anew, away from the others of its hash.
     spans = (
         at.join(ranges, ["hash", "digest"])
+        .repartition("hash", "digest", F.col("held")[0])
+        .select(F.explode("held").alias("place"), "low", "high")
         .select(
-            "k1", "k2", (F.col("at") - F.col("high")).alias("begin"), (F.col("at") - F.col("low") + length).alias("end")
+            "place.k1",
+            "place.k2",
+            (F.col("place.at") - F.col("high")).alias("begin"),
+            (F.col("place.at") - F.col("low") + length).alias("end"),
         )
         .groupBy("k1", "k2")
         .agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
