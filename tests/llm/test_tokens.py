@@ -94,3 +94,14 @@ def test_lookup_of_ids_far_apart(spark, tmp_path):
     write_store(documents(spark, [(i, f"text {i}") for i in ids] + [(5, "again")]), path)
     wanted = spark.createDataFrame([(i,) for i in [*ids, 7, 2**59, None]], "doc_id long")
     assert {r.doc_id for r in lookup(spark, path, wanted).collect()} == set(ids)
+
+
+def test_payloads_are_not_shuffled(spark, tmp_path):
+    write_store(documents(spark, ROWS), str(tmp_path / "store"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = read_documents(spark, str(tmp_path / "store"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -167,12 +167,15 @@ def write_store(documents: DataFrame, path: str, vocabulary: str | None = None,
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shard rows with ``start`` counted over the whole store. One total per part is ordered."""
+    """The shard rows with ``start`` counted over the whole store. One total per part is ordered.
+
+    Totals are a row per task that wrote, so they go to the shards: payloads are not shuffled.
+    """
     rows = spark.read.schema(_SHARD).parquet(path)
     totals = rows.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return rows.join(bases, "part").withColumn("start", F.col("start") + F.col("_base")).drop("_base")
+    return rows.join(F.broadcast(bases), "part").withColumn("start", F.col("start") + F.col("_base")).drop("_base")
 
 
 class Shard:
