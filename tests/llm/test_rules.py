@@ -214,3 +214,15 @@ def test_slices_hold_all_texts():
     column = pa.array(["a", None, "", "bcd" * 10, "é"])
     found = [p.text(i).decode() for p in slices(column.slice(1), 4) for i in range(len(p))]
     assert found == ["", "", "bcd" * 10, "é"]
+
+
+def test_classes_are_counted_by_what_is_taken_away(spark):
+    text = "aZ é9\t[x]\x0b#{$}\r\n~Ω_\\ /+=<b>|&%*^@.!\u00a0😀0"
+    rows = quality_rules._measured(_in_languages(spark, [(1, text, "x"), (2, None, None)]), ["doc_id"])
+    patterns = ["[a-z]", "[A-Z]", "[0-9]", "[ \t-\r]", r"[#*$%&|<>{}\[\]=_~^@\\/+]"]
+    counts = [len(re.findall(p, text)) for p in patterns]
+    got = {r.doc_id: r for r in rows.collect()}
+    assert got[1]["_classes"] == [*counts, len(text) - sum(counts)] and got[2]["_classes"] == [0] * 6
+    assert (got[1]["_space"], got[1]["_symbols"]) == (counts[3], len(re.findall(r"[#*$%&|<>]", text)))
+    plan = rows._jdf.queryExecution().analyzed().toString().lower()
+    assert "translate" in plan and "regexp_replace" not in plan

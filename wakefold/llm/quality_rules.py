@@ -24,17 +24,18 @@ MOST_CLASSES = 0.30
 MOST_COMMON = 0.60
 PART_OF_NONE = 0.8
 LEAST_EXPECTED = 24
-# Lower-case letters, then the other character classes by what is taken away to count them.
-LOWER = "[a-z]+"
-CLASSES = {
-    "upper": "[^A-Z]+", "digit": "[^0-9]+", "space": "[^ \\t-\\r]+",
-    "symbol": "[^#*$%&|<>{}\\[\\]=_~^@\\\\/+]+",
-}
-SYMBOLS = "[^#*$%&|<>]+"
+# Lower-case letters, then the other character classes in the order in which they are taken away.
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+CLASSES = {"upper": LOWER.upper(), "digit": "0123456789", "space": " \t\n\x0b\x0c\r", "symbol": "#*$%&|<>{}[]=_~^@\\/+"}
+SYMBOLS = "#*$%&|<>"
 
 
-def _left(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, pattern, "")).cast("long")
+def _without(text: Column, characters: str) -> Column:
+    return F.translate(text, characters, "")
+
+
+def _fewer(before: Column, after: Column) -> Column:
+    return (F.length(before) - F.length(after)).cast("long")
 
 
 def words_of(text: Column) -> Column:
@@ -89,21 +90,23 @@ def distance(counts: Column, usual: Column) -> Column:
 
 
 def _measured(documents: DataFrame, keep: list[str]) -> DataFrame:
-    """Text, language, ``_classes``: characters of each class, and all others, and ``_rest``.
+    """Text, language, ``_classes``: characters of each class, and all others, and ``_symbols``.
 
-    ``_rest`` is the text without its lower-case letters. All other classes are counted on that
-    short remainder, so that only one pass is made over the whole text.
+    A class is counted by what the text loses with it; each is taken from what the ones before left, so
+    that only the first pass is made over the whole text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(*keep, F.coalesce("lang", F.lit("")).alias("_lang"), text.alias("_text"))
-    rows = rows.withColumn("_rest", F.regexp_replace("_text", LOWER, ""))
-    counted = [_left(F.col("_rest"), pattern).alias(f"_{name}") for name, pattern in CLASSES.items()]
-    rows = rows.select("*", (F.length("_text") - F.length("_rest")).cast("long").alias("_lower"), *counted)
-    named = [F.col("_lower"), *[F.col(f"_{name}") for name in CLASSES]]
-    rest = F.length("_text").cast("long")
-    for n in named:
-        rest = rest - n
-    return rows.select(*keep, "_lang", "_text", "_rest", "_space", F.array(*named, rest).alias("_classes"))
+    left = ["_text"]
+    for name, characters in {"lower": LOWER, **CLASSES}.items():
+        rows = rows.withColumn(f"_without_{name}", _without(F.col(left[-1]), characters))
+        left.append(f"_without_{name}")
+    counted = [_fewer(F.col(a), F.col(b)) for a, b in zip(left, left[1:], strict=False)]
+    marks = F.col("_without_space")
+    return rows.select(
+        *keep, "_lang", "_text", counted[3].alias("_space"), _fewer(marks, _without(marks, SYMBOLS)).alias("_symbols"),
+        F.array(*counted, F.length(left[-1]).cast("long")).alias("_classes"),
+    )
 
 
 def references(documents: DataFrame) -> DataFrame:
@@ -141,8 +144,10 @@ def references(documents: DataFrame) -> DataFrame:
     return shared.withColumn("limit", limit)
 
 
-def _with_reference(documents: DataFrame) -> DataFrame:
-    """Documents with the reference of their language in ``_usual``.
+def _with_reference(documents: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """Documents with the reference of their language in ``_usual``, and the common words of any language.
+
+    The words, ``COMMON`` a language, are None beyond ``LANGUAGES`` languages.
 
     The ``LANGUAGES`` languages with most documents are found in a map at every task, so that their
     documents are not shuffled. Each other language has a small part of the documents at most; those
@@ -155,11 +160,12 @@ def _with_reference(documents: DataFrame) -> DataFrame:
     known = most.agg(F.map_from_entries(F.collect_list(entry)).alias("known")).scalar()
     lang = F.coalesce("lang", F.lit(""))
     if usual.count() <= LANGUAGES:
-        return _measured(documents, ["doc_id"]).withColumn("_usual", F.element_at(known, F.col("_lang")))
+        words = [r["w"] for r in usual.select(F.explode("words").alias("w")).distinct().collect()]
+        return _measured(documents, ["doc_id"]).withColumn("_usual", F.element_at(known, F.col("_lang"))), words
     often = _measured(documents.where(F.map_contains_key(known, lang)), ["doc_id"])
     seldom = _measured(documents.where(~F.map_contains_key(known, lang)), ["doc_id"])
     joined = seldom.join(usual.select("_lang", F.struct(*fields).alias("_usual")), "_lang").select(*seldom.columns, "_usual")
-    return often.withColumn("_usual", F.element_at(known, F.col("_lang"))).unionByName(joined)
+    return often.withColumn("_usual", F.element_at(known, F.col("_lang"))).unionByName(joined), None
 
 
 def rule_values(documents: DataFrame) -> DataFrame:
@@ -169,7 +175,7 @@ def rule_values(documents: DataFrame) -> DataFrame:
     Null texts have no words, null languages are one language. Repeated rows, ids and null ids are
     rows of their own. An empty table gives no rows.
     """
-    rows = _with_reference(documents)
+    rows, any_common = _with_reference(documents)
     cut = rows.withColumn("_words", words_of(F.col("_text")))
     n = F.size("_words")
     windows = F.transform(
@@ -182,7 +188,7 @@ def rule_values(documents: DataFrame) -> DataFrame:
         "doc_id",
         n.cast("long").alias("n_words"),
         (F.length("_text") - F.col("_space")).cast("long").alias("word_chars"),
-        _left(F.col("_rest"), SYMBOLS).alias("n_symbols"),
+        F.col("_symbols").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")).alias("_windows"),
         F.length("_text").alias("_chars"),
@@ -193,9 +199,11 @@ def rule_values(documents: DataFrame) -> DataFrame:
         usual["shares"].alias("_shares"),
         usual["limit"].alias("_limit"),
     )
+    # Words that are common in no language are told by one look into a set; the others have a place among their own.
+    listed = F.col("_words") if any_common is None else F.filter("_words", lambda w: w.isin(any_common))
     coded = counted.withColumn(
         "_codes",
-        F.filter(F.transform("_words", lambda w: F.array_position("_common", w)), lambda p: p > 0),
+        F.filter(F.transform(listed, lambda w: F.array_position("_common", w)), lambda p: p > 0),
     )
     known = F.transform(
         F.sequence(F.lit(1), F.size("_common")),
