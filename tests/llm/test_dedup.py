@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm.small import documents, prose
 
-from wakefold.llm import near_dedup
+from wakefold.llm import near_dedup, suffix_dedup
 from wakefold.llm.near_dedup import near_duplicates, without_near_copies
 from wakefold.llm.suffix_dedup import (
     HOT, SEED, _contexts, common_prefix, deep_shallow_sort, removed_bytes, repeated_offsets, without_repeats,
@@ -195,3 +195,27 @@ def test_places_of_a_context_are_joined_as_one_row(spark):
     assert [(p["k1"], p["at"]) for p in found[0].column(2)[0].as_py()] == list(enumerate(begin))
     for hot in (HOT, 10):
         assert sorted((tuple(r) for r in removed_bytes(documents(spark, rows), hot=hot).collect()), key=str) == _cut(rows)
+
+
+def test_places_that_a_text_has_of_a_context_stay_together(spark, monkeypatch):
+    line = prose(3, 20) + "\n"
+    rows = [(k, prose(50 + k, 30) + line * (100 + k) + prose(500 + k, 30)) for k in range(6)] + [(9, None), (None, line * 60)]
+    text = rows[0][1].encode()
+    begins = [text.index(line.encode()) + k * len(line) for k in range(50)]
+    batch = pa.record_batch(
+        [
+            pa.array([0, 0]), pa.array([5, 6]), pa.array([text] * 2),
+            pa.array([[{"place": b << 16, "hash": 7, "hot": False} for b in begins]] * 2),
+        ],
+        names=["k1", "k2", "text", "places"],
+    )
+    (found,) = _contexts(200, False)(iter([batch]))
+    assert found.column(2).to_pylist() == [[{"k1": 0, "k2": k, "at": begins[0], "more": begins[1:]} for k in (5, 6)]]
+    monkeypatch.setattr(suffix_dedup, "SAME", 30)
+    (found,) = _contexts(200, False)(iter([batch]))
+    cut = [[1 + len(t["more"]) for t in row] for row in found.column(2).to_pylist()]
+    assert sum(map(sum, cut)) == 100 and all(sum(row) <= 30 for row in cut)
+    monkeypatch.undo()
+    wanted = _cut(rows)
+    for hot in (HOT, 10):
+        assert sorted((tuple(r) for r in removed_bytes(documents(spark, rows), hot=hot).collect()), key=str) == wanted

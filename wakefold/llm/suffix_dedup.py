@@ -369,11 +369,11 @@ def _contexts(length: int, wide: bool):
                             merged = {}
                 else:
                     k1, k2 = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    held: dict[tuple, list] = {}
+                    held: dict[tuple, dict[int, list]] = {}
                     for i, at, h, digest, _, _ in rows(part):
-                        held.setdefault((h, digest), []).append((k1[i], k2[i], at))
+                        held.setdefault((h, digest), {}).setdefault(i, []).append(at)
                     if held:
-                        yield _held(held)
+                        yield _held(held, k1, k2)
         if merged:
             yield counted(merged)
 
@@ -385,15 +385,27 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _held(held: dict[tuple, list]) -> pa.RecordBatch:
-    """A row per context with the places that hold it, at most ``SAME`` in one."""
-    parts = [(h, d, v[a : a + SAME]) for (h, d), v in held.items() for a in range(0, len(v), SAME)]
-    hashes, digests, places = zip(*parts, strict=True)
-    ends = np.cumsum([0, *map(len, places)], dtype=np.int32)
-    k1, k2, at = zip(*(p for v in places for p in v), strict=True)
+def _held(held: dict[tuple, dict[int, list]], k1: list, k2: list) -> pa.RecordBatch:
+    """A row per context with the texts that hold it, each with its places; at most ``SAME`` places in a row."""
+    out: list[tuple] = []
+    for (h, digest), by_text in held.items():
+        row, n = [], 0
+        for i, places in by_text.items():
+            for a in range(0, len(places), SAME):
+                at, *more = places[a : a + SAME]
+                if n + len(more) >= SAME:
+                    out.append((h, digest, row))
+                    row, n = [], 0
+                row.append((k1[i], k2[i], at, more))
+                n += 1 + len(more)
+        out.append((h, digest, row))
+    hashes, digests, texts = zip(*out, strict=True)
+    first, second, at, more = zip(*(t for row in texts for t in row), strict=True)
     structs = pa.StructArray.from_arrays(
-        [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int32())], names=["k1", "k2", "at"]
+        [pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(at, pa.int32()), pa.array(more, pa.list_(pa.int32()))],
+        names=["k1", "k2", "at", "more"],
     )
+    ends = np.cumsum([0, *map(len, texts)], dtype=np.int32)
     return pa.RecordBatch.from_arrays(
         [pa.array(hashes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), structs)],
         names=["hash", "digest", "held"],
@@ -439,7 +451,7 @@ def _ranges(out: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _cutter():
+def _cutter(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
@@ -447,7 +459,13 @@ def _cutter():
                 out = []
                 for i in range(part.num_rows):
                     text = part.column(2)[i].as_py() or b""
-                    spans = _joined([(s["begin"], s["end"] - 1) for s in part.column(3)[i].as_py()])
+                    spans = _joined(
+                        [
+                            (at - s["high"], at - s["low"] + length - 1)
+                            for s in part.column(3)[i].as_py()
+                            for at in (s["at"], *s["more"])
+                        ]
+                    )
                     kept, at = [], 0
                     for begin, last in spans:
                         kept.append(text[at:begin])
@@ -499,25 +517,20 @@ def cut_documents(documents: DataFrame, length: int = 200, hot: int = HOT) -> Da
         _range_rows(length),
         "hash long, digest binary, low int, high int",
     )
-    held = "hash long, digest binary, held array<struct<k1:long,k2:long,at:int>>"
+    held = "hash long, digest binary, held array<struct<k1:long,k2:long,at:int,more:array<int>>>"
     at = in_tasks(near, _contexts(length, False), held)
-    # Places of a context are joined as one row and taken apart only when dealt anew, away from the others of its hash.
+    # Places of a context are joined as one row and taken apart only when dealt anew, away from the others of its hash;
+    # the places that one text has of it stay together up to the cut.
     spans = (
         at.join(ranges, ["hash", "digest"])
         .repartition("hash", "digest", F.col("held")[0])
         .select(F.explode("held").alias("place"), "low", "high")
-        .select(
-            "place.k1",
-            "place.k2",
-            (F.col("place.at") - F.col("high")).alias("begin"),
-            (F.col("place.at") - F.col("low") + length).alias("end"),
-        )
-        .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+        .groupBy("place.k1", "place.k2")
+        .agg(F.collect_set(F.struct("low", "high", "place.at", "place.more")).alias("spans"))
     )
     cut = in_tasks(
         near.select("k1", "k2", "text").join(spans, ["k1", "k2"]),
-        _cutter(),
+        _cutter(length),
         "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept_text string",
     )
     return cut.dropDuplicates(["k1", "k2"])
