@@ -134,6 +134,31 @@ def test_smallest_cover_is_found_without_pairs(spark, top, length):
     assert joins.covering_trajectory(t.limit(0), r).count() == 0
 
 
+def _spans_and_requests(spark, day=86_400_000):
+    spans = [(i, "v", i * 1000, i * 1000 + day, 1) for i in range(200)]
+    asks = [(i, "v", i * 500, i * 500 + length) for i, length in enumerate([60_000, 600_000, 3_600_000, 2 * day] * 5)]
+    t = spark.createDataFrame(spans, "event_index long, id string, traj_start_ms long, traj_end_ms long, n_points long")
+    return t, spark.createDataFrame(asks, "request_id long, id string, from_ms long, to_ms long")
+
+
+def test_long_trajectories_skip_classes_of_short_requests(spark, monkeypatch):
+    t, r = _spans_and_requests(spark)
+    met, candidates = [], joins.interval_candidates
+    monkeypatch.setattr(joins, "interval_candidates", lambda *a: met.append(candidates(*a)) or met[-1])
+    got = {(x["request_id"], x["event_index"]) for x in joins.within_trajectories(t, r).collect()}
+    spans, asks = t.collect(), r.collect()
+    assert got == {(a[0], s[0]) for a in asks for s in spans if s[2] >= a[2] and s[3] <= a[3]} and got
+    assert met[0].select("_level").distinct().count() == 1
+
+
+def test_covering_rows_are_dealt_before_they_are_repeated(spark):
+    t, r = _spans_and_requests(spark)
+    found = joins.covering_trajectory(t, r)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    window, dealt = plan.index("Window"), plan.index("Exchange hashpartitioning(id", plan.index("Window"))
+    assert "Generate explode" in plan[window:dealt]
+
+
 def test_event_index_is_gapless_with_frequent_values(spark):
     rows = [(7 if i % 3 == 0 else i, f"m{i % 5}", i) for i in range(500)]
     frame = spark.createDataFrame(rows, "T_start long, MMSI string, key long").repartition(6)
