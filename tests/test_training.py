@@ -1,11 +1,12 @@
 """Registered training runs with the reference's settings; forest curves score the first trees."""
 
 import time
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from wakefold.ml import trainers
-from wakefold.plans import training
+from wakefold.plans import tables, training
 
 
 def test_registered_training_is_whole(spark, monkeypatch):
@@ -114,3 +115,18 @@ def test_large_fits_run_one_after_another(spark, monkeypatch):
     most.clear()
     monkeypatch.setattr(trainers, "ROWS_PER_TASK", 10)
     assert trainers.at_once(work, range(4), table) == [0, 1, 2, 3] and max(most) == 1
+
+
+def test_training_rows_need_no_arrays(spark, monkeypatch, tmp_path):
+    folder, kinds = str(tmp_path), ["view", "click", "signup", "error", "purchase"]
+    rows = [(i if i % 17 else None, datetime(2024, 1, 1 + i // 24, i % 24), i % 5, kinds[i * 7 % 5], float(i % 11), f'{{"k": {i % 100}}}') for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(f"{folder}/events.parquet")
+    monkeypatch.setattr(tables, "_stored", {})
+    monkeypatch.setattr(tables, "_features", {})
+    alone = training._table(tables.Tables(spark, folder))
+    assert tables._features and not tables._stored
+    assert tables.Tables(spark, folder).stored.count() == alone.count() > 100
+    beside = training._table(tables.Tables(spark, folder))
+    assert "trajectories-" in beside.inputFiles()[0] and "trajectory-features-" in alone.inputFiles()[0]
+    assert sorted(map(tuple, alone.collect()), key=str) == sorted(map(tuple, beside.collect()), key=str)
