@@ -25,6 +25,18 @@ def test_pieces_give_the_library_ids(texts):
         assert [e.tobytes() for e in encoder.encode_all(texts)] == encoder._library(texts)
 
 
+def test_each_piece_is_merged_once_and_alone(monkeypatch):
+    for name, lower in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        encoder, whole, merged = Encoder(vocabulary_path(name), lower), [], []
+        texts = [prose(3, 400), "É\u00a0ß Ȿx", None, "", prose(3, 400), "It's 12\n  x\t", "aȺ Ⱦ!b", "b\u212a \u2003c"]
+        want = encoder._library([t or "" for t in texts])
+        merge, library = encoder.known.merge, encoder._library
+        encoder.known.merge = lambda piece: merged.append(piece) or merge(piece)
+        monkeypatch.setattr(encoder, "_library", lambda t: whole.extend(t) or library(t))
+        assert [e.tobytes() for e in encoder.encode_all(texts)] == want
+        assert len(merged) == len(set(merged)) > 30 and prose(3, 400) not in whole
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=80))
 def test_patterns_use_every_length_once(lengths):

@@ -1,7 +1,7 @@
 """Token ids of whole texts by a vocabulary file of the tokenizers library.
 
 The vocabularies cut a text into pieces by a pattern before merging, and each piece is encoded on
-its own. Pieces are therefore encoded once by the library and remembered; a text is the
+its own. Pieces are therefore merged once by the library's model and remembered; a text is the
 concatenation. Texts with characters outside the range for which the pattern is restated here are
 given to the library whole.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +28,7 @@ BYTE_PATTERN = (
     f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 WORD_PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
-_OUTSIDE = re.compile("[^\u0000-ɏ]|İ")
+_OUTSIDE = re.compile("[^\u0000-ɏ]")
 
 
 def vocabulary_path(name: str) -> str:
@@ -35,6 +37,30 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _signs() -> dict[int, str]:
+    """The sign that byte-level vocabularies write for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Known(dict):
+    """Ids of pieces; the library's model merges a piece when it is first asked for.
+
+    Pieces with characters for which the pattern is not restated are never held.
+    """
+
+    def __init__(self, merge: Callable):
+        self.merge, self.signs = merge, _signs()
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece.isascii() and _OUTSIDE.search(piece):
+            raise KeyError(piece)
+        tokens = self.merge(piece.encode().decode("latin-1").translate(self.signs))
+        ids = self[piece] = array("H", [t.id for t in tokens]).tobytes()
+        return ids
+
+
 class Encoder:
     """Encodes texts without special tokens; strings that look like special tokens are ordinary text."""
 
@@ -46,76 +72,27 @@ class Encoder:
         self.whole.encode_special_tokens = True
         self.lower = lower
         self.find = re.compile(WORD_PATTERN if lower else BYTE_PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.whole.model.tokenize)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.whole.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint16).tobytes() for e in found]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes unknown pieces, many in one text in which the pattern parts them again."""
-        joined: list[str] = []
-        alone: list[str] = []
-        for piece in pieces:
-            (joined if self.lower or not piece[-1].isspace() else alone).append(piece)
-        for at in range(0, len(joined), 2000):
-            part = joined[at : at + 2000]
-            # A piece with its own leading space follows directly; others get a line or space between.
-            gap = " " if self.lower else "\n"
-            text, index, word = [], [], 0
-            for piece in part:
-                if self.lower or piece[0] != " ":
-                    text.append(gap)
-                    word += not self.lower
-                text.append(piece)
-                index.append(word)
-                word += 1
-            found = self.whole.encode("".join(text), add_special_tokens=False)
-            words = np.array(found.word_ids, np.int64)
-            ids = np.array(found.ids, np.uint16)
-            if len(words) and words[-1] + 1 == word:
-                first = np.searchsorted(words, index)
-                last = np.searchsorted(words, index, "right")
-                for piece, a, b in zip(part, first.tolist(), last.tolist(), strict=True):
-                    self.known[piece] = ids[a:b].tobytes()
-            else:
-                alone.extend(part)
-        if alone:
-            self.known.update(zip(alone, self._library(alone), strict=True))
-
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as unsigned 16-bit numbers; null is empty."""
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [self._pieces(t) for t in texts]
-        out: list[bytes | None] = [self._joined(c) if isinstance(c, list) else c for c in cut]
-        open_ = [i for i, ids in enumerate(out) if ids is None]
-        if open_:
-            unknown = set().union(*(cut[i] for i in open_)) - self.known.keys()
-            if len(self.known) + len(unknown) > REMEMBERED:
-                self.known.clear()
-                unknown = set().union(*(cut[i] for i in open_))
-            self._learn(list(unknown))
-            for i in open_:
-                out[i] = self._joined(cut[i])
-        return [np.frombuffer(ids, np.uint16) for ids in out]
-
-    def _joined(self, pieces: list[str]) -> bytes | None:
-        """Ids of the pieces; None where one is not known yet."""
+        return [np.frombuffer(self._ids(t or ""), np.uint16) for t in texts]
+
+    def _ids(self, text: str) -> bytes:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            return None
-
-    def _pieces(self, text: str | None) -> list[str] | bytes:
-        """The pieces of a text; its ids where the pattern is not restated."""
-        if not text:
-            return []
-        if not text.isascii() and _OUTSIDE.search(text):
+            return b"".join(map(self.known.__getitem__, self.find(text.lower() if self.lower else text)))
+        except KeyError:  # the pattern is not restated for all of its characters
             return self._library([text])[0]
-        return self.find(text.lower() if self.lower else text)
 
 
 @lru_cache(maxsize=4)
