@@ -226,3 +226,18 @@ def test_classes_are_counted_by_what_is_taken_away(spark):
     assert (got[1]["_space"], got[1]["_symbols"]) == (counts[3], len(re.findall(r"[#*$%&|<>]", text)))
     plan = rows._jdf.queryExecution().analyzed().toString().lower()
     assert "translate" in plan and "regexp_replace" not in plan
+
+
+def test_words_are_hashed_once_and_places_counted_by_letters(spark):
+    text = "The cat sat on the mat, the cat sat on THE mat. " * 3 + "a b  c\n\na b c\tΣΑΣ the " + prose(4, 200)
+    rows = [(i, text, "en") for i in range(3)] + [(7, "a b", "en"), (8, "", "x"), (9, None, None)]
+    values = quality_rules.rule_values(_in_languages(spark, rows))
+    got = {r["doc_id"]: r for r in values.collect()}
+    words = re.findall(r"[^ \t-\r]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = {w for w, k in Counter(windows).items() if k > 1}
+    assert got[1]["n_repeat_words"] == len({i + j for i, w in enumerate(windows) if w in twice for j in range(3)}) > 36
+    assert got[1]["n_words"] == len(words) and got[1]["common_distance"] < 0.02
+    assert [got[i]["n_words"] for i in (7, 8, 9)] == [2, 0, 0]
+    plan = values._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "array_remove" not in plan and len(re.findall(r"xxhash64\(lambda [^,]*, 42\)", plan)) == 1

@@ -24,10 +24,12 @@ MOST_CLASSES = 0.30
 MOST_COMMON = 0.60
 PART_OF_NONE = 0.8
 LEAST_EXPECTED = 24
-# Lower-case letters, then the other character classes in the order in which they are taken away.
+# Lower-case letters, then the other character classes, in the order of the counts.
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 CLASSES = {"upper": LOWER.upper(), "digit": "0123456789", "space": " \t\n\x0b\x0c\r", "symbol": "#*$%&|<>{}[]=_~^@\\/+"}
 SYMBOLS = "#*$%&|<>"
+# A letter for each place among a language's common words, after one for none of them.
+PLACES = "-" + LOWER[:COMMON]
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -92,20 +94,20 @@ def distance(counts: Column, usual: Column) -> Column:
 def _measured(documents: DataFrame, keep: list[str]) -> DataFrame:
     """Text, language, ``_classes``: characters of each class, and all others, and ``_symbols``.
 
-    A class is counted by what the text loses with it; each is taken from what the ones before left, so
-    that only the first pass is made over the whole text.
+    A class is counted by what the text loses with it; each is taken from what the ones before left, the
+    usual ones first, so that only the first pass is made over the whole text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(*keep, F.coalesce("lang", F.lit("")).alias("_lang"), text.alias("_text"))
-    left = ["_text"]
-    for name, characters in {"lower": LOWER, **CLASSES}.items():
-        rows = rows.withColumn(f"_without_{name}", _without(F.col(left[-1]), characters))
-        left.append(f"_without_{name}")
-    counted = [_fewer(F.col(a), F.col(b)) for a, b in zip(left, left[1:], strict=False)]
-    marks = F.col("_without_space")
+    before, counted = "_text", {}
+    for name in ("lower", "space", "upper", "digit", "symbol"):
+        after = f"_without_{name}"
+        rows = rows.withColumn(after, _without(F.col(before), LOWER if name == "lower" else CLASSES[name]))
+        before, counted[name] = after, _fewer(F.col(before), F.col(after))
+    marks = F.col("_without_digit")
     return rows.select(
-        *keep, "_lang", "_text", counted[3].alias("_space"), _fewer(marks, _without(marks, SYMBOLS)).alias("_symbols"),
-        F.array(*counted, F.length(left[-1]).cast("long")).alias("_classes"),
+        *keep, "_lang", "_text", counted["space"].alias("_space"), _fewer(marks, _without(marks, SYMBOLS)).alias("_symbols"),
+        F.array(*[counted[name] for name in ("lower", *CLASSES)], F.length(before).cast("long")).alias("_classes"),
     )
 
 
@@ -178,13 +180,14 @@ def rule_values(documents: DataFrame) -> DataFrame:
     rows, any_common = _with_reference(documents)
     cut = rows.withColumn("_words", words_of(F.col("_text")))
     n = F.size("_words")
-    windows = F.transform(
-        F.slice("_words", F.lit(1), n - 2),
-        lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)),
+    hashes = F.transform("_words", lambda w: F.xxhash64(w))
+    pairs = F.zip_with(
+        F.slice("_hashes", F.lit(1), n - 2), F.slice("_hashes", F.lit(2), n - 2), lambda a, b: F.xxhash64(a, b)
     )
+    windows = F.zip_with(pairs, F.slice("_hashes", F.lit(3), n - 2), lambda a, b: F.xxhash64(a, b))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     usual = F.col("_usual")
-    counted = cut.select(
+    counted = cut.withColumn("_hashes", hashes).select(
         "doc_id",
         n.cast("long").alias("n_words"),
         (F.length("_text") - F.col("_space")).cast("long").alias("word_chars"),
@@ -201,15 +204,15 @@ def rule_values(documents: DataFrame) -> DataFrame:
     )
     # Words that are common in no language are told by one look into a set; the others have a place among their own.
     listed = F.col("_words") if any_common is None else F.filter("_words", lambda w: w.isin(any_common))
-    coded = counted.withColumn(
-        "_codes",
-        F.filter(F.transform(listed, lambda w: F.array_position("_common", w)), lambda p: p > 0),
-    )
+    # A letter per word tells its place: one letter is taken out of a text more quickly than a number out of an array.
+    letters = F.transform(listed, lambda w: F.substr(F.lit(PLACES), F.array_position("_common", w) + 1, F.lit(1)))
+    coded = counted.withColumn("_letters", F.array_join(letters, ""))
     known = F.transform(
         F.sequence(F.lit(1), F.size("_common")),
-        lambda k: (F.size("_codes") - F.size(F.array_remove("_codes", k.cast("long")))).cast("long"),
+        lambda k: _fewer(F.col("_letters"), F.replace("_letters", F.substr(F.lit(PLACES), k + 1, F.lit(1)), F.lit(""))),
     )
-    own = F.concat(known, F.array(F.size("_words").cast("long") - F.size("_codes")))
+    others = F.size("_words") - F.length(F.replace("_letters", F.lit(PLACES[0]), F.lit("")))
+    own = F.concat(known, F.array(others.cast("long")))
     some = F.size("_common") > 0
     expected = F.col("n_words") * (1 - F.element_at("_shares", -1))
     valued = with_repeated_words(coded.withColumn("_own", own), "_windows", "n_repeat_words").select(
